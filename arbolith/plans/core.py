@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ("advantages",)
+MODULES = ("advantages", "hierarchies")
 
 
 def _modules() -> list:
