@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arbolith.llm.encoding import encoded, token_counts
+from arbolith.llm.packing import containers
+from arbolith.llm.topn import top_n
 from arbolith.llm.truncation import truncated_values, truncation_rates
-from arbolith.tables import table
+from arbolith.tables import latest, table
 
 NODE = ["task_id", "node_id"]
 VERSION = ["written_at", "loaded_at"]
@@ -30,9 +34,57 @@ def p1_rates(spark: SparkSession, base: str) -> DataFrame:
     return truncation_rates(truncated_values(table(spark, base, "search_nodes"), NODE, WRITTEN_BY, VERSION))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The three best children of every parent among current nodes."""
+    rows = table(spark, base, "search_nodes").select(*NODE, "parent_id", "is_correct", "cost", *VERSION)
+    rows = latest(rows, NODE, VERSION).filter("parent_id <> ''")
+    correct = F.when(F.col("is_correct"), 0).when(~F.col("is_correct"), 1).otherwise(2)
+    best = top_n(rows, ["task_id", "parent_id"], 3, correct, F.col("cost"), ["node_id"])
+    return best.select("task_id", "parent_id", "node_id")
+
+
+def _containers(spark: SparkSession, base: str) -> DataFrame:
+    capacity = table(spark, base, "container_sizes").agg(F.max("capacity_chars")).first()[0]
+    length = F.aggregate(
+        F.coalesce(F.col("messages"), F.array()), F.lit(0), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0))
+    )
+    return containers(table(spark, base, "training_rows"), "row_id", length, int(capacity))
+
+
+def p5_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Every training row with its container, or containers if it is longer than one."""
+    return _containers(spark, base)
+
+
+def p6_ids(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's ids by byte_bpe_50k."""
+    return encoded(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p6_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's number of ids."""
+    return token_counts(p6_ids(spark, base), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_rates": p1_rates}
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+
+CURRENT = """WITH v AS (
+    SELECT *, row_number() OVER (PARTITION BY task_id, node_id ORDER BY written_at DESC, loaded_at DESC) AS rn
+    FROM search_nodes),
+n AS (SELECT * EXCLUDE (rn) FROM v WHERE rn = 1)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that have one."""
+    return {
+        "p2_found": CURRENT
+        + """SELECT task_id, parent_id, node_id FROM (
+            SELECT task_id, parent_id, node_id, row_number() OVER (
+                PARTITION BY task_id, parent_id
+                ORDER BY CASE WHEN is_correct THEN 0 WHEN NOT is_correct THEN 1 ELSE 2 END,
+                         CASE WHEN isnan(cost) THEN NULL ELSE cost END NULLS LAST, node_id) AS r
+            FROM n WHERE parent_id IS NOT NULL AND parent_id <> '') WHERE r <= 3""",
+    }
