@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arbolith.llm.encoding import encoded, token_counts
 from arbolith.llm.packing import containers
+from arbolith.llm.subjects import classify, fit, labelled_sample
 from arbolith.llm.topn import top_n
 from arbolith.llm.truncation import truncated_values, truncation_rates
 from arbolith.tables import latest, table
@@ -66,6 +67,19 @@ def p6_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts(p6_ids(spark, base), "doc_id")
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with each of its subject areas."""
+    names = [r[0] for r in table(spark, base, "subjects").select("subject").distinct().orderBy("subject").collect() if r[0]]
+    documents = table(spark, base, "documents")
+    model = fit(labelled_sample(documents, table(spark, base, "subject_labels"), names), names)
+    return classify(documents, model)
+
+
+def p8_composition(spark: SparkSession, base: str) -> DataFrame:
+    """Documents by subject."""
+    return p8_found(spark, base).groupBy("subject").agg(F.count("*").alias("n_docs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
