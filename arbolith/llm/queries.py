@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.llm.encoding import encoded, token_counts
+from arbolith.llm.leaks import cleaned, leaks, longest_runs
 from arbolith.llm.packing import containers
 from arbolith.llm.subjects import classify, fit, labelled_sample
 from arbolith.llm.topn import top_n
@@ -67,6 +68,30 @@ def p6_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts(p6_ids(spark, base), "doc_id")
 
 
+def _test_items(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "tasks").filter("split = 'test'")
+
+
+def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and the test items they contain, with longest runs and coverage."""
+    return leaks(table(spark, base, "documents"), "doc_id", "text", _test_items(spark, base), "id", "question")
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and the test items of which they have twelve consecutive words."""
+    return p7_leaks(spark, base).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, base: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    return longest_runs(p7_leaks(spark, base), "doc_id")
+
+
+def p7_cleaned(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with leaked spans, without them."""
+    return cleaned(table(spark, base, "documents"), "doc_id", "text", _test_items(spark, base), "id", "question")
+
+
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
     """Every document with each of its subject areas."""
     names = [r[0] for r in table(spark, base, "subjects").select("subject").distinct().orderBy("subject").collect() if r[0]]
@@ -91,6 +116,16 @@ n AS (SELECT * EXCLUDE (rn) FROM v WHERE rn = 1)
 """
 
 
+LEAKS = r"""WITH dw AS (
+    SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, lower(array_to_string(list_slice(w, p, p + 11), ' ')) AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM dw WHERE len(w) >= 12)),
+iw AS (SELECT id AS item_id, regexp_extract_all(question, '[\p{L}\p{Nd}]+') AS w FROM tasks WHERE split = 'test' AND question IS NOT NULL),
+i AS (SELECT DISTINCT item_id, lower(array_to_string(list_slice(w, p, p + 11), ' ')) AS gram
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM iw WHERE len(w) >= 12))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that have one."""
     return {
@@ -101,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
                 ORDER BY CASE WHEN is_correct THEN 0 WHEN NOT is_correct THEN 1 ELSE 2 END,
                          CASE WHEN isnan(cost) THEN NULL ELSE cost END NULLS LAST, node_id) AS r
             FROM n WHERE parent_id IS NOT NULL AND parent_id <> '') WHERE r <= 3""",
+        "p7_found": LEAKS + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)",
     }
