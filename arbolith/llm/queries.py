@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from arbolith.llm.encoding import encoded, token_counts
 from arbolith.llm.leaks import cleaned, leaks, longest_runs
 from arbolith.llm.packing import containers
+from arbolith.llm.pairs import pair_defects
 from arbolith.llm.subjects import classify, fit, labelled_sample
 from arbolith.llm.topn import top_n
 from arbolith.llm.truncation import truncated_values, truncation_rates
+from arbolith.storage import small_side
 from arbolith.tables import latest, table
 
 NODE = ["task_id", "node_id"]
@@ -45,6 +47,23 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return best.select("task_id", "parent_id", "node_id")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Defective pairs of the current delegate and submit nodes."""
+    tasks = table(spark, base, "tasks").groupBy(F.col("id").alias("task_id")).agg(F.first("question", ignorenulls=True).alias("question"))
+    nodes = table(spark, base, "search_nodes").join(small_side(tasks), "task_id", "left")
+    delegate, submit = F.col("action") == "delegate", F.col("action") == "submit"
+    rows = nodes.select(
+        *NODE,
+        *VERSION,
+        F.coalesce(delegate | submit, F.lit(False)).alias("live"),
+        F.when(delegate, F.col("focus_question")).when(submit, F.col("question")).alias("prompt"),
+        F.when(delegate, F.col("delegate_answer")).when(submit, F.col("final_answer_text")).alias("answer"),
+        "error",
+        F.concat_ws(":", "action", F.when(delegate, F.col("chosen_model")).otherwise(F.col("main_model"))).alias("source"),
+    )
+    return pair_defects(rows, NODE, "prompt", "answer", "error", "source", VERSION, "live")
+
+
 def _containers(spark: SparkSession, base: str) -> DataFrame:
     capacity = table(spark, base, "container_sizes").agg(F.max("capacity_chars")).first()[0]
     length = F.aggregate(
