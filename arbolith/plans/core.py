@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from arbolith.plans.registry import Plans, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
-#: Modules with QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ("advantages", "hierarchies")
+#: Modules with a ``plans`` registry.
+MODULES = ("advantages", "hierarchies", "preferences", "texts")
 
 
-def _modules() -> list:
-    return [importlib.import_module(f"arbolith.plans.{m}") for m in MODULES]
+def _registries() -> list[Plans]:
+    return [importlib.import_module(f"arbolith.plans.{m}").plans for m in MODULES]
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for m in _modules() for k, q in m.QUERIES.items()}
+    return {k: q for p in _registries() for k, q in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q for m in _modules() for k, q in m.SQL.items()}
+    return {k: q for p in _registries() for k, q in p.sql.items()}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from arbolith.operators.hierarchy import descendants, hierarchy, subtree_sizes
+from arbolith.plans.registry import Plans
 from arbolith.tables import latest, table
 
+plans = Plans()
+
 SCOPE = ["task_id"]
 
 
@@ -13,21 +16,6 @@ def _nodes(spark, base):
     return latest(rows, ["task_id", "node_id"], ["written_at", "loaded_at"])
 
 
-def p4_found(spark, base):
-    return hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id", paths=False)
-
-
-def p4_paths(spark, base):
-    """Each node's path, depth, root and subtree size."""
-    tree = hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id")
-    sizes = subtree_sizes(tree, SCOPE, "node_id")
-    return tree.join(sizes, ["task_id", "node_id"], "left")
-
-
-def p4_descendants(spark, base):
-    return descendants(hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id"), SCOPE, "node_id")
-
-
 CURRENT = """WITH RECURSIVE v AS (
     SELECT task_id, node_id, parent_id,
            row_number() OVER (PARTITION BY task_id, node_id ORDER BY written_at DESC, loaded_at DESC) AS rn
@@ -43,14 +31,31 @@ a AS (SELECT l.task_id, l.node_id, coalesce(t.root_id, '') AS root_id, CAST(coal
       FROM l LEFT JOIN t ON t.task_id = l.task_id AND t.node_id = l.node_id)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants}
-SQL = {
-    "p4_found": CURRENT + "SELECT task_id, node_id, root_id, hops FROM a",
-    "p4_paths": CURRENT
+
+@plans.add(CURRENT + "SELECT task_id, node_id, root_id, hops FROM a")
+def p4_found(spark, base):
+    """Every current node with its root and distance."""
+    return hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id", paths=False)
+
+
+@plans.add(
+    CURRENT
     + """, s AS (SELECT task_id, x AS node_id, count(*) AS subtree_size
              FROM (SELECT task_id, unnest(path) AS x FROM a) GROUP BY 1, 2)
-    SELECT a.task_id, a.node_id, root_id, hops, path, subtree_size FROM a LEFT JOIN s ON s.task_id = a.task_id AND s.node_id = a.node_id""",
-    "p4_descendants": CURRENT
+    SELECT a.task_id, a.node_id, root_id, hops, path, subtree_size FROM a LEFT JOIN s ON s.task_id = a.task_id AND s.node_id = a.node_id"""
+)
+def p4_paths(spark, base):
+    """Each node's path, depth, root and subtree size."""
+    tree = hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id")
+    sizes = subtree_sizes(tree, SCOPE, "node_id")
+    return tree.join(sizes, ["task_id", "node_id"], "left")
+
+
+@plans.add(
+    CURRENT
     + """SELECT task_id, path[i] AS node_id, node_id AS descendant_id, CAST(hops - i + 1 AS INTEGER) AS distance
-    FROM (SELECT task_id, node_id, hops, path, unnest(range(1, len(path))) AS i FROM a WHERE path IS NOT NULL)""",
-}
+    FROM (SELECT task_id, node_id, hops, path, unnest(range(1, len(path))) AS i FROM a WHERE path IS NOT NULL)"""
+)
+def p4_descendants(spark, base):
+    """Each node with every node below it."""
+    return descendants(hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id"), SCOPE, "node_id")
