@@ -56,7 +56,7 @@ def f5_confidence(spark, base):
     return e.select("event_id", F.round(S.confidence(text), 6).alias("confidence"))
 
 
-@plans.add(FINAL.format(r"trim(regexp_replace('<think>' || coalesce(boxed_letter, '') || '</think> ' || coalesce(final_answer_text, ''), '(?is)<think>.*?</think>', '', 'g')) AS text"))
+@plans.add(FINAL.format(r"regexp_replace(regexp_replace('<think>' || coalesce(boxed_letter, '') || '</think> ' || coalesce(final_answer_text, ''), '(?is)<think>.*?</think>', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text"))
 def f7_without_thinking(spark, base):
     tagged = F.concat(F.lit("<think>"), F.coalesce("boxed_letter", F.lit("")), F.lit("</think> "), F.coalesce("final_answer_text", F.lit("")))
     return finals(spark, base).select(*KEY, S.without_thinking(tagged).alias("text"))
