@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbolith.storage import materialize
 
 #: Peeling ends after so many rounds, or when a round removes less than this share of what is left.
-PEELS, WORTH = 8, 0.15
+PEELS, WORTH = 4, 0.15
 
 
 def _links(df: DataFrame, scope: Sequence[str], node: str, parent: str) -> tuple[DataFrame, DataFrame]:

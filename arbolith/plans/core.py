@@ -7,7 +7,7 @@ import importlib
 from arbolith.plans.registry import Plans, Query
 
 #: Modules with a ``plans`` registry.
-MODULES = ("advantages", "hierarchies", "preferences", "texts", "evaluations", "samples")
+MODULES = ("advantages", "hierarchies", "preferences", "texts", "evaluations", "samples", "trees", "chats")
 
 
 def _registries() -> list[Plans]:

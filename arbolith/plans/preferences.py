@@ -53,5 +53,5 @@ def a21_class_balance(spark, base):
 
 
 @plans.add("SELECT event_id, value FROM events WHERE value > 50")
-def p26_score_threshold(spark, base):
+def row_p26_score_threshold(spark, base):
     return candidates(spark, base).filter("value > 50").select("event_id", "value")
