@@ -7,7 +7,9 @@ import importlib
 from arbolith.plans.registry import Plans, Query
 
 #: Modules with a ``plans`` registry.
-MODULES = ("advantages", "hierarchies", "preferences", "texts", "evaluations", "samples", "trees", "chats")
+MODULES = (
+    "advantages", "hierarchies", "preferences", "texts", "evaluations", "samples", "trees", "chats", "sources", "streams"
+)
 
 
 def _registries() -> list[Plans]:

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed like the tables of :func:`materialize`."""
+    path = f"{shared_dir(spark).rstrip('/')}/arbolith-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of it.
 
@@ -34,9 +41,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     or earlier by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/arbolith-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
