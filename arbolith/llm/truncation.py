@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.llm.endings import BRIEF, DOUBTFUL, ELLIPSIS, MARKED, OPEN, with_ending
+from arbolith.llm.endings import BRIEF, DOUBTFUL, ELLIPSIS, MARKED, OPEN, WHOLE, with_ending
 from arbolith.storage import materialize
 from arbolith.tables import latest
 
@@ -17,17 +17,21 @@ NEAR = 15
 SPIKE_VALUES, SPIKE_TIMES, SPIKE_OPEN = 5, 3.0, 0.4
 #: A last sentence that ends so many texts alike is its author's, dots or not.
 COMMON_TAIL = 20
+#: A line with which so many values end off the spikes is whole.
+KNOWN_TAIL = 2
+#: Where whole values end in white space no more often than this, white space at a list's end is what a cut left.
+BLANK_SHARE = 0.005
 
 
 def field_endings(
     df: DataFrame, keys: Sequence[str], fields: Mapping[str, str], order: Sequence[str | Column] = ()
 ) -> DataFrame:
-    """One row per key and field with text: keys, field_name, source, n_chars, n_bytes, kind, last_word, tail.
+    """One row per key and field with text: keys, field_name, source, n_chars, n_bytes, kind, last_word, tail, blank_end.
 
     ``fields`` maps a text column to the column that names what wrote it. With
     ``order`` only the current version of each key counts. The features are
-    made before the versions are compared, so no text is shuffled; tail is
-    kept for texts that end in dots only.
+    made before the versions are compared, so no text is shuffled; tail is a
+    hash of the last sentence with its numbers masked, for the kinds that need it.
     """
     rows = df
     for i, text in enumerate(fields):
@@ -40,7 +44,8 @@ def field_endings(
             F.octet_length(text).alias("n_bytes"),
             F.col(f"__end{i}.kind").alias("kind"),
             F.when(F.col(f"__end{i}.kind").isin(DOUBTFUL, BRIEF), F.col(f"__end{i}.last_word")).alias("last_word"),
-            F.when(F.col(f"__end{i}.kind") == ELLIPSIS, F.xxhash64(f"__end{i}.tail")).alias("tail"),
+            F.when(F.col(f"__end{i}.kind").isin(ELLIPSIS, DOUBTFUL), F.xxhash64(F.regexp_replace(f"__end{i}.tail", r"\d+", "0"))).alias("tail"),
+            F.right(text, F.lit(1)).rlike(r"\s").alias("blank_end"),
         )
         for i, (text, source) in enumerate(fields.items())
     ]
@@ -111,10 +116,11 @@ def truncated_values(
     A value is truncated if it ends in a truncation mark or an incomplete
     character or escape, or is running text without an end, or ends in dots
     that aren't a common closing sentence, or is a list, formula or label that
-    stops at a spike of its source's length histogram (characters or bytes),
-    or ends in a fragment of a word of the corpus or in a word that needs
-    another. Null and blank values give no row, an empty table none; repeated
-    rows of a key without ``order`` give a row each.
+    ends in a fragment of a word of the corpus, or in white space where whole
+    values don't, or at a spike of its source's length histogram (characters
+    or bytes) in a line with which no value ends off the spikes. Null and blank
+    values give no row, an empty table none; repeated rows of a key without
+    ``order`` give a row each.
     """
     ends = materialize(field_endings(df, keys, fields, order), "endings")
     spikes = length_spikes(ends)
@@ -125,30 +131,31 @@ def truncated_values(
         .filter(~F.col("whole"))
         .select(F.col("word").alias("last_word"), F.lit(True).alias("fragment"))
     )
-    common = (
-        ends.filter(F.col("kind") == ELLIPSIS)
-        .groupBy("tail")
-        .agg((F.count("*") >= COMMON_TAIL).alias("common"))
-        .filter("common")
-    )
     by = ["field_name", "source"]
     at = spikes.groupBy(*by).agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("n"))).alias("chars"),
         F.collect_set(F.when(F.col("unit") == "bytes", F.col("n"))).alias("bytes"),
     )
-    out = (
-        ends.join(at.withColumnRenamed("source", "__s").withColumnRenamed("field_name", "__f"),
-                  (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-        .join(fragments, "last_word", "left")
-        .join(common, "tail", "left")
-    )
+    at = at.withColumnRenamed("source", "__s").withColumnRenamed("field_name", "__f")
+    same = (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s"))
     limited = F.coalesce(F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes")), F.lit(False))
+    out = ends.join(at, same, "left").withColumn("limited", limited).drop("chars", "bytes", "__s", "__f")
+    tails = (
+        out.filter("tail IS NOT NULL")
+        .groupBy("tail")
+        .agg((F.count("*") >= COMMON_TAIL).alias("common"), (F.count(F.when(~F.col("limited"), 1)) >= KNOWN_TAIL).alias("known"))
+        .filter("common OR known")
+    )
+    whole = F.col("kind") == WHOLE
+    tidy = ends.agg((F.count(F.when(whole & F.col("blank_end"), 1)) <= BLANK_SHARE * F.count(F.when(whole, 1))).alias("tidy"))
+    out = out.join(fragments, "last_word", "left").join(tails, "tail", "left").crossJoin(F.broadcast(tidy))  # one row
     torn = F.coalesce(F.col("fragment"), F.lit(False))
+    common, known = (F.coalesce(F.col(c), F.lit(False)) for c in ("common", "known"))
     kind = F.col("kind")
     cut = (
         kind.isin(MARKED, OPEN)
-        | ((kind == ELLIPSIS) & F.col("common").isNull())
-        | ((kind == DOUBTFUL) & (limited | torn))
+        | ((kind == ELLIPSIS) & ~common)
+        | ((kind == DOUBTFUL) & (torn | (F.col("limited") & ~known) | (F.col("blank_end") & F.col("tidy"))))
         | ((kind == BRIEF) & torn)
     )
     return out.select(*keys, "field_name", "source", cut.alias("truncated"))
