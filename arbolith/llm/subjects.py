@@ -17,8 +17,8 @@ from arbolith.storage import small_side
 
 #: At most so many labelled documents are fitted on, the first by a hash of their id.
 MAX_LABELLED = 20_000
-#: A term belongs to a subject if the lower bound of the share of its documents with that subject reaches SHARE
-#: and LIFT times the subject's own share, over at least DOCS documents.
+#: A term belongs to a subject if, over at least DOCS documents, the lower bound of the share of its documents
+#: with that subject reaches SHARE, and the odds of that share are LIFT times those of the subject's own share.
 SHARE, LIFT, DOCS = 0.3, 4.0, 3
 FOLDS, BEAM, RIDGE = 4, 8, 1.0  # parts to cross-fit by, width of the search, weight of the penalty
 #: Sources and languages with a feature of their own: the most frequent ones of the labelled documents.
@@ -74,7 +74,8 @@ def _lexicon(docs: np.ndarray, per: np.ndarray, having: np.ndarray, n: int) -> t
     k = np.maximum(docs, 1)
     p, z = per[np.arange(len(s)), s] / k, 1.96
     low = (p + z * z / (2 * k) - z * np.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
-    good = np.flatnonzero((docs >= DOCS) & (low >= SHARE) & (p >= LIFT * having[s] / max(1, n)))
+    base = having[s] / max(1, n)
+    good = np.flatnonzero((docs >= DOCS) & (low >= SHARE) & (p * (1 - base) >= LIFT * base * (1 - p)))
     return good, s[good]
 
 

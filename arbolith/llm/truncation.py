@@ -63,7 +63,7 @@ def length_spikes(endings: DataFrame) -> DataFrame:
     number of texts of the lengths within NEAR. Histograms are aggregated
     before the shuffle and have one row per length.
     """
-    is_open = F.col("kind").isin(OPEN, MARKED, ELLIPSIS).cast("int")
+    is_open = F.col("kind").isin(OPEN, MARKED).cast("int")
     units = F.explode(
         F.array(
             F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("n")),
