@@ -50,6 +50,12 @@ REFUSAL = re.compile(
     r"|не могу|не буду|отказ|воздержусь|не имею права|предпочитаю не|вынужден"
     r"|无法(?:回答|提供|协助|帮助)|不能(?:回答|提供|协助|帮助)|不便(?:回答|评论|透露)|拒绝|抱歉|恕不|お答えできません|回答できません"
 )
+# Words of which every refusal in plain ASCII has one; a quick look before the patterns.
+REFUSING = frozenset(
+    "can cannot could couldn won will unable able decline refuse rather prefer allowed permitted pass leave declined refused left "
+    "reply answer response comment opinion possible something irresponsible forbid forbids someone limits covered outside may "
+    "guidelines role policy policies instructions stays je impossible ich nicht puedo debo prefiero posible estoy posso prefiro preferisco".split()
+)
 # What goes with an apology or a refusal and answers nothing.
 COURTESY = re.compile(
     r"\b(?:consult|ask) (?:an expert|a professional|something else|someone else|qualified)|\bfeel free\b|\banother (?:task|matter|question|topic)\b"
@@ -60,6 +66,8 @@ CHOICE = re.compile(r"\\boxed\s*\{\s*(?:\\text\s*\{)?\s*[A-Za-z0-9]|(?:answer|ch
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 INVISIBLE = regex.compile(r"[\s\p{Cf}\p{Cc}\p{Z}\u115F\u1160\u3164\uFFA0\u2800]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+ASCII_WORD = re.compile(r"[0-9a-z]+")
+SOMETHING = re.compile(r"[0-9A-Za-z]")
 EMPTY_BOX = re.compile(r"(?:(?:my |the )?(?:final )?answer(?: is)?\s*:?\s*)?\$*\\boxed\s*\{\s*(?:\\text\s*\{\s*\})?\s*\}\$*\.?", re.I)
 MARKS = re.compile(r"^[\s<>()\[\]{}`*_\"'.$:|\\/~-]+|[\s<>()\[\]{}`*_\"'.$:|\\/~-]+$")
 # Frequent words of languages in Latin letters.
@@ -68,8 +76,8 @@ STOPWORDS = {
     "fr": "si le la les des du et est une un que dans pour pas ne il elle sur avec au aux ce cette se qui plus par sont donc parce lorsque entre",
     "de": "der die das und ist nicht von den mit zu ein eine dem im auf für als auch es an werden aus wird dass weil nach bei muss wenn sich",
     "es": "si solo sobre el la los las de y es que en un una por con no para se del al lo como más su pero esta cuando porque hay entre según",
-    "it": "il lo la gli le di e è che un una per con non si del della sono nel alla come più ma quando perché questo",
-    "pt": "o a os as de e é que um uma para com não se do da no na por mais como mas quando porque são ao",
+    "it": "il lo la gli le di è che un una per con non si del della sono nel alla come più ma quando perché questo",
+    "pt": "os as de é que um uma para com não se do da no na por mais como mas quando porque são ao",
     "nl": "de het een en van is dat niet op te in voor met zijn als aan er maar om door bij wordt",
 }
 LANGUAGES = {w: tuple(k for k, v in STOPWORDS.items() if w in v.split()) for v in STOPWORDS.values() for w in v.split()}
@@ -89,52 +97,63 @@ SCRIPTS = (
 )
 
 
-def language(text: str) -> str | None:
-    """The language of running text: by script, or by frequent words in Latin letters; None if too little tells."""
-    if not text.isascii():
+def language(text: str, words: list[str] | None = None) -> str | None:
+    """The language of running text: by script, or by frequent words in Latin letters; None if too little tells.
+
+    ``words`` are its words in lower case, if known.
+    """
+    ascii_ = text.isascii()
+    if not ascii_ and max(text) > "\u036f":  # beyond Latin letters and marks
         letters = sum(map(str.isalpha, text))
         for name, script in SCRIPTS:
             n = len(script.findall(text))
             if n >= 6 and n >= 0.4 * letters:
                 return name
-    words = text.lower().replace("'", " ").replace("’", " ").split()
+    words = words_of(text) if words is None else words
     if len(words) < 4:
         return None
-    score: Counter = Counter()
-    for w in words:
-        for name in LANGUAGES.get(w.strip(".,;:!?()«»\"¿¡"), ()):
-            score[name] += 1
-    if not text.isascii():
+    score: dict[str, int] = {}
+    for names in filter(None, map(LANGUAGES.get, words)):
+        for name in names:
+            score[name] = score.get(name, 0) + 1
+    if not ascii_:
         for c in set(text.lower()):
             for name in LETTERS.get(c, ()):
-                score[name] += 1
-    best = score.most_common(2)
-    if not best or best[0][1] < 2 and best[0][1] < 0.15 * len(words) or len(best) > 1 and best[0][1] == best[1][1]:
+                score[name] = score.get(name, 0) + 1
+    best = sorted(score.values(), reverse=True)[:2]
+    if not best or best[0] < 2 and best[0] < 0.15 * len(words) or len(best) > 1 and best[0] == best[1]:
         return None
-    return best[0][0]
+    return max(score, key=score.__getitem__)
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, marks and digits, in lower case."""
+    return ASCII_WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
 
 
 def is_empty(answer: str | None, error: str | None) -> bool:
     """Nothing but white space, invisible characters, a placeholder, an empty box or block, or the error itself."""
     if not answer:
         return True
+    if len(answer) > 80 + len(error or "") and SOMETHING.search(answer):
+        return False  # longer than any of these
     seen = INVISIBLE.sub(" ", answer).strip()
-    if not seen or MARKS.sub("", seen).lower() in PLACEHOLDERS or EMPTY_BOX.fullmatch(MARKS.sub("", seen).strip()) or EMPTY_BOX.fullmatch(seen.strip("*_ ")):
-        return True
-    if EMPTY_BOX.fullmatch(seen.replace("*", "").strip()):
+    bare = MARKS.sub("", seen)
+    if not seen or bare.lower() in PLACEHOLDERS or any(map(EMPTY_BOX.fullmatch, (bare, seen, seen.replace("*", "").strip()))):
         return True
     own = INVISIBLE.sub(" ", error or "").strip()
-    return bool(own) and MARKS.sub("", seen) == MARKS.sub("", own)
+    return bool(own) and bare == MARKS.sub("", own)
 
 
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
     """All or nearly all of the prompt's words and next to nothing else; repeats of the prompt count once."""
     if len(prompt) < 3 or len(answer) < 3:
         return False
-    p, a = Counter(prompt), Counter(answer)
-    covered = sum(min(n, a[w]) for w, n in p.items())
-    novel = sum(n for w, n in a.items() if w not in p)
-    return covered >= COPIED * len(prompt) and novel <= max(NOVEL_WORDS, NOVEL * len(answer))
+    known = set(prompt)
+    if sum(w not in known for w in answer) > max(NOVEL_WORDS, NOVEL * len(answer)):
+        return False
+    a = Counter(answer)
+    return sum(min(n, a[w]) for w, n in Counter(prompt).items()) >= COPIED * len(prompt)
 
 
 class Look(NamedTuple):
@@ -152,45 +171,46 @@ def look(prompt: str | None, answer: str | None, error: str | None) -> Look:
     """The checks of one pair; the opening only if nothing besides it answers."""
     if is_empty(answer, error):
         return Look(True, False, False, None, False)
-    asked, said = (prompt or ""), QUOTING.sub("", answer)
+    said = QUOTING.sub("", answer)
     choice = bool(CHOICE.search(answer))
-    a_words = [w.lower() for w in WORD.findall(said)]
-    p_words = [w.lower() for w in WORD.findall(asked)]
+    a_words = words_of(said)
+    p_words, target = _prompt(prompt or "")
     copy = not choice and is_copy(p_words, a_words)
-    spoken = language(said)
     foreign = False
-    if spoken and len(answer) > 8:
-        target = _language_of(asked)
-        foreign = target is not None and spoken != target
+    if target is not None and len(answer) > 8:
+        spoken = language(said, a_words)
+        foreign = spoken is not None and spoken != target
     opening, cue = None, False
     if not choice:
-        opening, cue = _opening(answer, set(p_words))
+        opening, cue = _opening(answer, a_words, p_words)
     return Look(False, copy, foreign, opening, cue)
 
 
 @lru_cache(maxsize=4096)
-def _language_of(prompt: str) -> str | None:
-    return language(prompt)
+def _prompt(prompt: str) -> tuple[list[str], str | None]:
+    words = words_of(prompt)
+    return words, language(prompt, words)
 
 
-def _opening(answer: str, prompt: set[str]) -> tuple[str | None, bool]:
+def _opening(answer: str, said: list[str], prompt: list[str]) -> tuple[str | None, bool]:
     """(first sentence that is no mere courtesy, with the prompt's longer words and numbers masked; whether it refuses).
 
     None if some other sentence neither refuses nor is a courtesy: that one answers.
     """
-    first = polite = None
-    for s in SENTENCE.split(answer):
-        s = s.strip()
-        if not s:
-            continue
+    sentences = [s for s in map(str.strip, SENTENCE.split(answer)) if s]
+    refuses = not answer.isascii() or not REFUSING.isdisjoint(said)
+    if not refuses and len(sentences) > 2:
+        return None, False  # two sentences at most are an opening and a courtesy
+    first = None
+    for s in sentences:
         low = s.lower().replace("’", "'")
-        if REFUSAL.search(low):
+        if refuses and REFUSAL.search(low):
             if first is None or not first[1]:
                 if first is not None:
                     return None, False
                 first = (low, True)
         elif COURTESY.search(low):
-            polite = polite or low
+            continue
         elif first is None:
             first = (low, False)
         else:
