@@ -20,7 +20,11 @@ f AS (SELECT m.task_id, m.node_id, a.root_id, a.hops, a.path, m.action, m.boxed_
       m.action = 'submit' AND coalesce(m.boxed_letter, '') <> '' AS leaf
       FROM m JOIN a ON a.task_id = m.task_id AND a.node_id = m.node_id)
 """
-LEAF = (F.col("action") == "submit") & (F.coalesce("boxed_letter", F.lit("")) != "")
+
+
+def is_leaf():
+    """Submits with a letter."""
+    return (F.col("action") == "submit") & (F.coalesce("boxed_letter", F.lit("")) != "")
 
 
 def tree(spark, base):
@@ -37,7 +41,7 @@ def g1_node_class(spark, base):
 
 @plans.add(FULL + "SELECT task_id, node_id, hops, path FROM f WHERE leaf AND path IS NOT NULL")
 def g2_j5_leaf_paths(spark, base):
-    return tree(spark, base).filter(LEAF & F.col("path").isNotNull()).select(*ID, "hops", "path")
+    return tree(spark, base).filter(is_leaf() & F.col("path").isNotNull()).select(*ID, "hops", "path")
 
 
 TRAJ = FULL + """, s AS (SELECT task_id, node_id, hops, path, unnest(path) AS x, unnest(range(len(path))) AS i FROM f WHERE leaf AND path IS NOT NULL),
@@ -49,7 +53,7 @@ tr AS (SELECT s.task_id, s.node_id, any_value(s.path) AS node_ids, any_value(s.h
 
 def trajectories(spark, base):
     df = tree(spark, base).withColumn("tokens", F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
-    return T.trajectories(df, ["task_id"], "node_id", LEAF, cost="cost", tokens="tokens")
+    return T.trajectories(df, ["task_id"], "node_id", is_leaf(), cost="cost", tokens="tokens")
 
 
 @plans.add(TRAJ + "SELECT task_id, node_id, node_ids, depth, actions, last_confidence, round(cost, 6) AS cost, CAST(tokens AS BIGINT) AS tokens FROM tr")
@@ -64,7 +68,7 @@ def g3_w16_w19_trajectories(spark, base):
     round(r / nullif(t, 0), 6) AS accuracy FROM f LEFT JOIN s USING (task_id, node_id) WHERE path IS NOT NULL""")
 def a8_g4_roll_up(spark, base):
     opened = F.col("action").isin("root", "delegate") & ~F.coalesce(F.col("is_terminal"), F.lit(False))
-    out = T.roll_up(tree(spark, base), ["task_id"], "node_id", LEAF, opened, F.coalesce(F.col("is_correct"), F.lit(False)))
+    out = T.roll_up(tree(spark, base), ["task_id"], "node_id", is_leaf(), opened, F.coalesce(F.col("is_correct"), F.lit(False)))
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
