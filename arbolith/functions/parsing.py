@@ -163,3 +163,29 @@ def tool_reward(names: pd.Series, arguments: pd.Series, want_names: pd.Series, w
     """1 where the call is exactly the wanted one, else 0; nulls count as empty."""
     rows = zip(*(s.fillna("") for s in (names, arguments, want_names, want_arguments)))
     return pd.Series([float(action_match(*r) == 1.0) for r in rows], dtype="float64")
+
+
+def scrubbed(value: object, mark: str = "_token") -> object:
+    """``value`` with the strings under keys that contain ``mark`` as None, at any depth."""
+    if isinstance(value, dict):
+        return {k: None if mark in k and isinstance(v, str) else scrubbed(v, mark) for k, v in value.items()}
+    return [scrubbed(v, mark) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StringType())
+def scrub_json(texts: pd.Series) -> pd.Series:
+    """JSON with the strings under keys with _token as null; what is no JSON as null."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return json.dumps(scrubbed(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def fence_split(text: Column, fence: str = "```python") -> tuple[Column, Column]:
+    """(what comes before the first fence, the fence and all after it); the second is null without one."""
+    at = F.instr(text, fence)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), F.when(at > 0, F.substring(text, at, F.length(text)))

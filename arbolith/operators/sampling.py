@@ -209,3 +209,21 @@ def pack_sequences(df: DataFrame, item: str, length: str, capacity: int, batch:
 def bin_totals(packed: DataFrame, lengths: DataFrame, item: str, length: str) -> DataFrame:
     """shard, bin, items, total of :func:`pack_sequences`."""
     return packed.join(lengths.select(item, length), item).groupBy("shard", "bin").agg(F.count("*").alias("items"), F.sum(length).alias("total"))
+
+
+def negatives(df: DataFrame, key: str, response: str, k: int, seed: int) -> DataFrame:
+    """key, negatives: ``k`` other rows' responses for each row, from a shuffle of all: the next ones after the row's own.
+
+    Null responses and those equal to the row's own are left out, so there may be fewer.
+    One equi-join on positions; no row meets more than ``k`` others.
+    """
+    n = df.count()
+    rows = shuffled(df.select(key, response), seed, key)
+    k = min(k, max(n - 1, 0))
+    draws = F.explode(F.sequence(F.lit(1), F.lit(k))) if k else F.explode(F.array().cast("array<int>"))
+    wanted = rows.select(key, F.col(response).alias("__own"), "position", draws.alias("__j"))
+    wanted = wanted.withColumn("__at", F.pmod(F.col("position") + F.col("__j"), F.lit(max(n, 1))))
+    pool = rows.select(F.col("position").alias("__at"), F.col(response).alias("__other"))
+    got = wanted.join(pool, "__at").filter(F.col("__other").isNotNull() & ~F.col("__other").eqNullSafe(F.col("__own")))
+    lists = got.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__j", "__other"))).alias("__l"))
+    return lists.select(key, F.transform("__l", lambda x: x["__other"]).alias("negatives"))

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from arbolith.functions import parsing as P
 from arbolith.functions import scalars as S
 from arbolith.plans.evaluations import NODES, nodes
+from arbolith.operators import sampling
+from arbolith.operators import trees as T
+from arbolith.plans import trees
 from arbolith.plans.registry import Plans
 from arbolith.plans.texts import VEC, finals, vector_pairs
+from arbolith.plans.trees import FULL
+from arbolith.storage import materialize
 from arbolith.tables import table
 
 plans = Plans()
@@ -158,3 +163,35 @@ def x9_steps(spark, base):
     return table(spark, base, "customer").groupBy("c_nationkey").agg(F.ceil(3 * n).cast("bigint").alias("steps"))
 
 
+
+
+@plans.add("""WITH t AS (SELECT id, answer, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS p, count(*) OVER () AS n FROM tasks),
+    w AS (SELECT id, answer, n, p, unnest(range(1, 8)) AS j FROM t)
+    SELECT w.id, list(t.answer ORDER BY j) AS negatives FROM w JOIN t ON t.p = (w.p + j) % w.n WHERE t.answer IS NOT NULL AND t.answer IS DISTINCT FROM w.answer GROUP BY 1""")
+def n16_negatives(spark, base):
+    return sampling.negatives(table(spark, base, "tasks"), "id", "answer", 7, 42)
+
+
+@plans.add("SELECT id, 'see ' || source || ' ' AS head, '```python' || chr(10) || split || chr(10) || '```' AS code FROM tasks")
+def n26_fence_split(spark, base):
+    text = F.concat(F.lit("see "), "source", F.lit(" ```python\n"), "split", F.lit("\n```"))
+    head, code = P.fence_split(text)
+    return table(spark, base, "tasks").select("id", head.alias("head"), code.alias("code"))
+
+
+@plans.add("""SELECT event_id, '{"api_token":null,"in":[' || replace(props, ' ', '') || ']}' AS clean FROM events""")
+def x10_scrubbed(spark, base):
+    text = F.concat(F.lit('{"api_token": "s3cret", "in": ['), "props", F.lit("]}"))
+    return table(spark, base, "events").select("event_id", P.scrub_json(text).alias("clean"))
+
+
+@plans.add(FULL + """, b AS (SELECT task_id, unnest(path[:-2]) AS node_id, CAST(leaf AS INTEGER) AS leaf, CAST(leaf AND coalesce(is_correct, false) AS INTEGER) AS r FROM f WHERE path IS NOT NULL),
+    s AS (SELECT task_id, node_id, sum(leaf) AS t, sum(r) AS r FROM b GROUP BY 1, 2)
+    SELECT f.task_id, f.node_id, CAST(coalesce(t, 0) AS BIGINT) AS terminals, round(r / nullif(t, 0), 6) AS accuracy FROM f LEFT JOIN s USING (task_id, node_id)
+    WHERE path IS NOT NULL AND NOT leaf AND NOT coalesce(is_terminal, false) AND action IN ('root', 'delegate') AND coalesce(depth, 0) < 8""")
+def g10_expandable(spark, base):
+    """Nodes that may grow, with what is below them."""
+    t = materialize(trees.tree(spark, base), "tree")
+    below = T.roll_up(t, ["task_id"], "node_id", trees.is_leaf(), F.lit(False), F.coalesce(F.col("is_correct"), F.lit(False)))
+    grow = t.filter(T.node_class(8) == "expandable").select("task_id", "node_id")
+    return grow.join(below, ["task_id", "node_id"]).select("task_id", "node_id", "terminals", F.round("accuracy", 6).alias("accuracy"))

@@ -183,3 +183,11 @@ def test_registry_refuses_doubles():
         r.add("a")(2)
     with pytest.raises(KeyError):
         r["b"]
+
+
+def test_negatives_are_others_and_at_most_k(spark):
+    df = spark.createDataFrame([(i, f"r{i % 5}" if i else None) for i in range(20)], "k int, r string")
+    own = {i: f"r{i % 5}" if i else None for i in range(20)}
+    got = {r.k: r.negatives for r in sampling.negatives(df, "k", "r", 6, 1).collect()}
+    assert all(own[k] not in v and len(v) <= 6 and None not in v for k, v in got.items())
+    assert sampling.negatives(df.limit(1), "k", "r", 6, 1).count() == 0

@@ -50,3 +50,10 @@ def test_json_object_is_compact_and_sorted(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "é"}',), ("no",)], "t string")
     assert [r.o for r in df.select(P.json_object("t").alias("o")).collect()] == ['{"a":"é","b":1}', None]
     assert json.loads("{}") == {}
+
+
+def test_scrubbed_and_fences(spark):
+    assert P.scrubbed({"a_token": "x", "b": [{"c_token": 1, "d_token": "y"}]}) == {"a_token": None, "b": [{"c_token": 1, "d_token": None}]}
+    df = spark.createDataFrame([("a ```python\nx",), ("none",), (None,)], "t string")
+    head, code = P.fence_split(F.col("t"))
+    assert [tuple(r) for r in df.select(head, code).collect()] == [("a ", "```python\nx"), ("none", None), (None, None)]
