@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 #: A side is broadcast only when its optimised plan is estimated at or below this many bytes.
-BROADCAST_BYTES = 1 << 20
+BROADCAST_BYTES = 256 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
