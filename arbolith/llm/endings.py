@@ -17,12 +17,14 @@ MARKER = (
 )
 ELLIPSIS_END = r"\s*(?:…|\.{3,})$"
 TERMINAL = r"[.!?。！？؟।]['\"”’»)\]*_]*$"
+#: A point after digits in a text of Chinese characters is a decimal point, as its sentences end otherwise.
+HALF_NUMBER = r"\p{IsHan}\s*\d+\.$"
 CLOSED = (
     r"(?:\*\*[^*\n]{1,60}\*\*|→\s*\(?[A-Z]\)?|(?:^|\s)\([A-Z]\)|\$\$|```|\$?\\boxed\s*\{(?:[^{}]|\{[^{}]*\})*\}\$?)$"
 )
 GROUP = r"(?:\s*(?:\([^()\n]{1,60}\)|\[[^\[\]\n]{1,60}\]))+$"
 LIST_LINE = r"^\s*(?:[-*•]|\d{1,3}[.)])\s+\S"
-LABEL_LINE = r"(?i)(?:answer|choice|option|chosen|result)\b[^.!?\n]{0,14}\s\(?[A-Z]\)?$|^\S[^.!?\n]{0,24}:\s\S{1,12}$"
+LABEL_LINE = r"(?i:answer|choice|option|chosen|result)\b[^.!?\n]{0,14}\s\(?[A-Z]\)?$|^\S[^.!?\n]{0,24}:\s\S{1,12}$"
 FORMULA = r"[=≈]\s*[-+]?\d"
 # Words after which no text of these languages ends.
 DANGLING = (
@@ -70,14 +72,14 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
         .when(line.rlike(LABEL_LINE), WHOLE)
         .when(core.rlike(DANGLING_END), OPEN)
         .when(line.rlike(LIST_LINE) | tail.rlike(FORMULA), F.when(F.col(G), WHOLE).otherwise(DOUBTFUL))
-        .when((words <= 6) & (F.length(text) <= 60) & ~core.rlike(r"[.!?]\s|[。！？，\n]"), BRIEF)
+        .when((words <= 6) & (F.length(text) <= 60) & ~core.rlike(r"[.!?]\s|[。！？，\n]|\p{IsHan}{4}"), BRIEF)
         .otherwise(OPEN)
     )
     rtrim = F.expr("rtrim(concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12)), {})".format(f"`{text}`"))
     return (
         df.withColumn(S, F.right(rtrim, F.lit(TAIL)))
         .withColumn(D, last(3).rlike(r"(?:…|\.{3})$"))
-        .withColumn(W, ~F.col(D) & last(12).rlike(TERMINAL))
+        .withColumn(W, ~F.col(D) & last(12).rlike(TERMINAL) & ~last(24).rlike(HALF_NUMBER))
         .withColumn(B, F.when(F.col(D), F.regexp_replace(S, r"\s*(?:…|\.{3,})$", "")).when(~whole, s))
         .withColumn(G, last(1).isin(")", "]") & base.rlike(GROUP))
         .withColumn(C, F.trim(F.when(F.col(G), F.regexp_replace(B, GROUP, "")).otherwise(base)))

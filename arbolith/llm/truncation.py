@@ -19,7 +19,7 @@ SPIKE_VALUES, SPIKE_TIMES, SPIKE_OPEN = 5, 3.0, 0.4
 COMMON_TAIL = 20
 #: A line with which so many values end off the spikes is whole.
 KNOWN_TAIL = 2
-#: Where whole values end in white space no more often than this, white space at a list's end is what a cut left.
+#: Where whole values end in white space no more often than this, white space at the end is what a cut left.
 BLANK_SHARE = 0.005
 
 
@@ -115,9 +115,9 @@ def truncated_values(
 
     A value is truncated if it ends in a truncation mark or an incomplete
     character or escape, or is running text without an end, or ends in dots
-    that aren't a common closing sentence, or is a list, formula or label that
-    ends in a fragment of a word of the corpus, or in white space where whole
-    values don't, or at a spike of its source's length histogram (characters
+    that aren't a common closing sentence, or ends in white space where whole
+    values next to never do, or is a list, formula or label that ends in a
+    fragment of a word of the corpus or at a spike of its source's length histogram (characters
     or bytes) in a line with which no value ends off the spikes. Null and blank
     values give no row, an empty table none; repeated rows of a key without
     ``order`` give a row each.
@@ -155,7 +155,8 @@ def truncated_values(
     cut = (
         kind.isin(MARKED, OPEN)
         | ((kind == ELLIPSIS) & ~common)
-        | ((kind == DOUBTFUL) & (torn | (F.col("limited") & ~known) | (F.col("blank_end") & F.col("tidy"))))
+        | (kind.isin(WHOLE, DOUBTFUL) & F.col("blank_end") & F.col("tidy"))
+        | ((kind == DOUBTFUL) & (torn | (F.col("limited") & ~known)))
         | ((kind == BRIEF) & torn)
     )
     return out.select(*keys, "field_name", "source", cut.alias("truncated"))

@@ -41,6 +41,9 @@ CASES = [
     ("So \\boxed{\\text{B}}", endings.WHOLE),
     ("x\n```\na = 1\n```", endings.WHOLE),
     ("由此可见。", endings.WHOLE),
+    ("Measured. So option B h", endings.OPEN),
+    ("由于湿度在78.", endings.OPEN),
+    ("因此必须先检", endings.OPEN),
     ("It is done. And this en", endings.OPEN),
     ("It is done. And then the", endings.OPEN),
     ("This is one long running text that goes on (see item 4)", endings.OPEN),
@@ -83,14 +86,15 @@ def test_limits_dots_and_fragments(spark):
             text += " And so on as before..."
         rows.append((str(i), 1, source, text, "clash"))
     rows += [("list", 1, None, "Parts: two.\n- alpha beta\n- gam", "x"), ("whole", 1, None, "Parts: two.\n- alpha beta\n- gamma", "x")]
-    rows += [("dots", 1, None, "Alpha beta gam...", "x"), ("old", 1, None, "Alpha bet", "x"), ("old", 2, None, "Alpha beta.", "x"), (None, 1, None, None, None), ("long", 1, None, "Alpha beta. " * 20_000, "x")]
+    rows += [("dots", 1, None, "Alpha beta gam...", "x"), ("old", 1, None, "Alpha bet", "x"), ("old", 2, None, "Alpha beta.", "x"), (None, 1, None, None, None), ("long", 1, None, "Alpha beta." + " Alpha beta." * 20_000, "x")]
     rows += [(f"author{i}", 1, None, f"Alpha {i}. And so on as before...", "x") for i in range(20)]
-    cut |= {"list", "dots"}
+    rows += [("blank", 1, None, "Alpha beta. Gamma delta. ", "x")]
+    cut |= {"list", "dots", "blank"}
     df = spark.createDataFrame(rows, "k string, v int, m string, text string, kind string").repartition(4)
     got = truncation.truncated_values(df, ["k"], {"text": "m"}, ["v"])
     assert {r.k for r in got.filter("truncated").collect()} == cut
     rates = truncation.truncation_rates(got).collect()
-    assert {r.source: r.n_truncated for r in rates} == {"m1": len(cut) - 2, None: 2}
+    assert {r.source: r.n_truncated for r in rates} == {"m1": len(cut) - 3, None: 3}
     assert truncation.truncated_values(df.limit(0), ["k"], {"text": "m"}, ["v"]).count() == 0
 
 
