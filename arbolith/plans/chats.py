@@ -73,9 +73,9 @@ def row_p9_boxes(spark, base):
     return table(spark, base, "orders").select("o_orderkey", C.box(b).alias("box"))
 
 
-@plans.add("SELECT row_id FROM training_rows WHERE channel IN ('mcts')")
+@plans.add("SELECT row_id FROM training_rows WHERE channel IN ('retry')")
 def row_p11_p14_membership(spark, base):
-    return rows(spark, base).filter(F.col("channel").isin("mcts")).select("row_id")
+    return rows(spark, base).filter(F.col("channel").isin("retry")).select("row_id")
 
 
 @plans.add("SELECT row_id FROM training_rows WHERE NOT coalesce(len(list_filter(messages, lambda m: regexp_matches(lower(coalesce(m.content, '')), 'sorry|human:'))) > 0, false)")
