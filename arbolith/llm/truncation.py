@@ -15,9 +15,11 @@ from arbolith.tables import latest
 NEAR = 15
 #: A spike has so many values that end open, so many times the local level, and this share of its values ends open.
 SPIKE_VALUES, SPIKE_TIMES, SPIKE_OPEN = 5, 3.0, 0.4
-#: A last sentence that ends so many texts alike is its author's, dots or not.
+#: A last sentence that ends so many texts alike is its author's, dots or not,
 COMMON_TAIL = 20
-#: A line with which so many values end off the spikes is whole.
+#: if these are such a share of its source's values in the field, or of all values of the field.
+SOURCE_SHARE, FIELD_SHARE = 0.005, 0.001
+#: A line with which so many values end off the spikes, and no fewer than on them, is whole.
 KNOWN_TAIL = 2
 #: Where whole values end in white space no more often than this, white space at the end is what a cut left.
 BLANK_SHARE = 0.005
@@ -43,7 +45,7 @@ def field_endings(
             F.length(text).alias("n_chars"),
             F.octet_length(text).alias("n_bytes"),
             F.col(f"__end{i}.kind").alias("kind"),
-            F.when(F.col(f"__end{i}.kind").isin(DOUBTFUL, BRIEF), F.col(f"__end{i}.last_word")).alias("last_word"),
+            F.when(F.col(f"__end{i}.kind").isin(ELLIPSIS, DOUBTFUL, BRIEF), F.col(f"__end{i}.last_word")).alias("last_word"),
             F.when(F.col(f"__end{i}.kind").isin(ELLIPSIS, DOUBTFUL), F.xxhash64(F.regexp_replace(f"__end{i}.tail", r"\d+", "0"))).alias("tail"),
             F.right(text, F.lit(1)).rlike(r"\s").alias("blank_end"),
         )
@@ -108,6 +110,45 @@ def word_prefixes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return words.select(F.explode(cuts).alias("x")).groupBy("x.word").agg(F.max("x.whole").alias("whole"))
 
 
+def whole_tails(out: DataFrame) -> DataFrame:
+    """tail, common, known: last sentences that are their authors', dots or not, and lines that are whole.
+
+    Both rules are shares, with a least number of values as evidence, so a
+    fragment that recurs as the table grows stays one. Values cut by other
+    signs are no evidence.
+    """
+    c = F.col
+    per = (
+        out.filter("tail IS NOT NULL AND NOT (torn OR blank_cut)")
+        .groupBy("tail", "field_name", "source")
+        .agg(
+            F.count(F.when((c("kind") == ELLIPSIS) & ~c("limited"), 1)).alias("dotted"),
+            F.count(F.when((c("kind") == DOUBTFUL) & ~c("limited"), 1)).alias("off"),
+            F.count(F.when((c("kind") == DOUBTFUL) & c("limited"), 1)).alias("on"),
+        )
+    )
+    size = out.groupBy("field_name", "source").agg(F.count("*").alias("n")).withColumnsRenamed({"field_name": "__f", "source": "__s"})
+    size = size.withColumn("all", F.sum("n").over(Window.partitionBy("__f")))
+    same = (c("field_name") == c("__f")) & c("source").eqNullSafe(c("__s"))
+    fields = (
+        per.join(size, same)
+        .groupBy("tail", "field_name")
+        .agg(
+            F.max((c("dotted") >= COMMON_TAIL) & (c("dotted") >= SOURCE_SHARE * c("n"))).alias("of_source"),
+            F.sum("dotted").alias("dotted"),
+            F.max("all").alias("all"),
+            F.sum("off").alias("off"),
+            F.sum("on").alias("on"),
+        )
+    )
+    common = c("of_source") | ((c("dotted") >= COMMON_TAIL) & (c("dotted") >= FIELD_SHARE * c("all")))
+    return (
+        fields.groupBy("tail")
+        .agg(F.max(common).alias("common"), ((F.sum("off") >= KNOWN_TAIL) & (F.sum("off") >= F.sum("on"))).alias("known"))
+        .filter("common OR known")
+    )
+
+
 def truncated_values(
     df: DataFrame, keys: Sequence[str], fields: Mapping[str, str], order: Sequence[str | Column] = ()
 ) -> DataFrame:
@@ -115,22 +156,23 @@ def truncated_values(
 
     A value is truncated if it ends in a truncation mark or an incomplete
     character or escape, or is running text without an end, or ends in dots
-    that aren't a common closing sentence, or ends in white space where whole
+    that aren't a closing sentence of a fair share of its source's or field's values, or ends in white space where whole
     values next to never do, or is a list, formula or label that ends in a
     fragment of a word of the corpus or at a spike of its source's length histogram (characters
-    or bytes) in a line with which no value ends off the spikes. Null and blank
+    or bytes) in a line with which fewer values end off the spikes than on them. Null and blank
     values give no row, an empty table none; repeated rows of a key without
     ``order`` give a row each.
     """
     ends = materialize(field_endings(df, keys, fields, order), "endings")
     spikes = length_spikes(ends)
-    doubt = ends.filter(F.col("kind").isin(DOUBTFUL, BRIEF))
+    doubt = ends.filter("last_word IS NOT NULL")
     last = doubt.select(F.col("last_word").alias("word")).filter("length(word) > 1").distinct()
     fragments = (
         last.join(word_prefixes(df, list(fields)), "word")
         .filter(~F.col("whole"))
         .select(F.col("word").alias("last_word"), F.lit(True).alias("fragment"))
     )
+    fragments = materialize(fragments, "fragments")  # read for the evidence and for the values
     by = ["field_name", "source"]
     at = spikes.groupBy(*by).agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("n"))).alias("chars"),
@@ -140,24 +182,19 @@ def truncated_values(
     same = (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s"))
     limited = F.coalesce(F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes")), F.lit(False))
     out = ends.join(at, same, "left").withColumn("limited", limited).drop("chars", "bytes", "__s", "__f")
-    tails = (
-        out.filter("tail IS NOT NULL")
-        .groupBy("tail")
-        .agg((F.count("*") >= COMMON_TAIL).alias("common"), (F.count(F.when(~F.col("limited"), 1)) >= KNOWN_TAIL).alias("known"))
-        .filter("common OR known")
-    )
-    whole = F.col("kind") == WHOLE
+    kind, whole = F.col("kind"), F.col("kind") == WHOLE
     tidy = ends.agg((F.count(F.when(whole & F.col("blank_end"), 1)) <= BLANK_SHARE * F.count(F.when(whole, 1))).alias("tidy"))
-    out = out.join(fragments, "last_word", "left").join(tails, "tail", "left").crossJoin(F.broadcast(tidy))  # one row
-    torn = F.coalesce(F.col("fragment"), F.lit(False))
+    out = out.join(fragments, "last_word", "left").crossJoin(F.broadcast(tidy))  # one row
+    out = out.withColumn("torn", F.coalesce("fragment", F.lit(False)))
+    out = out.withColumn("blank_cut", kind.isin(WHOLE, DOUBTFUL) & F.col("blank_end") & F.col("tidy"))
+    out = out.join(whole_tails(out), "tail", "left")
     common, known = (F.coalesce(F.col(c), F.lit(False)) for c in ("common", "known"))
-    kind = F.col("kind")
     cut = (
         kind.isin(MARKED, OPEN)
         | ((kind == ELLIPSIS) & ~common)
-        | (kind.isin(WHOLE, DOUBTFUL) & F.col("blank_end") & F.col("tidy"))
-        | ((kind == DOUBTFUL) & (torn | (F.col("limited") & ~known)))
-        | ((kind == BRIEF) & torn)
+        | F.col("blank_cut")
+        | ((kind == DOUBTFUL) & (F.col("torn") | (F.col("limited") & ~known)))
+        | ((kind == BRIEF) & F.col("torn"))
     )
     return out.select(*keys, "field_name", "source", cut.alias("truncated"))
 

@@ -98,6 +98,25 @@ def test_limits_dots_and_fragments(spark):
     assert truncation.truncated_values(df.limit(0), ["k"], {"text": "m"}, ["v"]).count() == 0
 
 
+def test_recurring_fragments_stay_cut_in_a_large_table(spark):
+    n = F.col("id")
+    plain = F.concat(F.lit("Alpha beta gamma. Delta "), F.repeat(F.lit("epsilon "), (n % 97).cast("int")), F.lit("zeta."))
+    rows = spark.range(30_000).select(n.cast("string").alias("k"), F.when(n < 25, "Alpha beta. It...").when(n.between(100, 399), "Alpha beta. The rest is alike...").otherwise(plain).alias("text"))
+    got = truncation.truncated_values(rows.withColumn("m", F.lit("x")), ["k"], {"text": "m"}).filter("truncated")
+    assert {r.k for r in got.collect()} == {str(i) for i in range(25)}
+
+
+def test_lines_on_a_limit_are_whole_only_if_most_end_so_elsewhere(spark):
+    rows = [(f"open{i}", "alpha beta gamma delta epsilon zeta theta kappa lambda"[:40] + "eta iota alpha beta gam"[:20]) for i in range(30)]
+    line = lambda head, n: head * ((n - len("\n- alpha")) // len(head) + 1)
+    at = lambda n, tail: line("Gamma delta. ", n)[: n - len(tail)] + tail
+    rows += [(f"cut{i}", at(60, "\n- alpha")) for i in range(6)] + [(f"off{i}", at(90 + i, "\n- alpha")) for i in range(2)]
+    rows += [("whole", at(60, "\n- beta"))] + [(f"same{i}", at(120 + i, "\n- beta")) for i in range(3)]
+    df = spark.createDataFrame([(k, "x", t) for k, t in rows], "k string, m string, text string")
+    got = truncation.truncated_values(df, ["k"], {"text": "m"}).filter("truncated")
+    assert {r.k for r in got.collect()} == {f"open{i}" for i in range(30)} | {f"cut{i}" for i in range(6)}
+
+
 # ---- top N
 
 
