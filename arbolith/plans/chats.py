@@ -291,10 +291,21 @@ W = "WITH w AS (SELECT id, string_split(question, ' ') AS w FROM tasks) "
 
 @plans.add(W + "SELECT id, w[1:20] AS words FROM w WHERE NOT list_contains(w, 'the')")
 def q6_truncated(spark, base):
+    """Tasks without the protected word; :func:`q6_truncated_all` has all, from both sides."""
     t = table(spark, base, "tasks").select("id", F.split("question", " ").alias("w")).filter("NOT array_contains(w, 'the')")
     return t.select("id", C.truncated(F.col("w"), 20, False, ["the"]).alias("words"))
 
 
+@plans.add(W + """, p AS (SELECT id, w, [i FOR i IN range(1, len(w) + 1) IF w[i] <> 'the'] AS o, greatest(20 - len(list_filter(w, lambda x: x = 'the')), 0) AS room FROM w)
+    SELECT id, CASE WHEN len(w) <= 20 THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF w[i] = 'the' OR list_position(o, i) <= room] END AS first_words,
+        CASE WHEN len(w) <= 20 THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF w[i] = 'the' OR list_position(o, i) > len(o) - room] END AS last_words FROM p""")
+def q6_truncated_all(spark, base):
+    """All tasks, the protected word kept wherever it stands; the others' first or last fill what room is left."""
+    w = F.col("w")
+    t = table(spark, base, "tasks").select("id", F.split("question", " ").alias("w"))
+    return t.select("id", C.truncated(w, 20, False, ["the"]).alias("first_words"), C.truncated(w, 20, True, ["the"]).alias("last_words"))
+
+
 @plans.add(W + "SELECT id, CAST((i - 1) // 16 AS INTEGER) AS at, w[i:i + 15] AS words FROM (SELECT id, w, unnest(range(1, len(w) + 1, 16)) AS i FROM w)")
 def q7_chunks(spark, base):
     t = table(spark, base, "tasks").select("id", C.chunks(F.split("question", " "), 16).alias("c"))

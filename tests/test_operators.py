@@ -105,6 +105,24 @@ def test_packed_stream_keeps_the_capacity(spark):
     assert 0 < left <= 2 * 100  # only the open containers are held back
 
 
+@pytest.mark.parametrize("left", [False, True])
+def test_truncation_protects_tokens(spark, left):
+    rng = np.random.default_rng(5)
+    rows = [[] if i == 0 else [str(x) for x in rng.choice(["the", "a", "b", "c"], rng.integers(1, 12))] for i in range(60)] + [["the"] * 9, None]
+
+    def brute(ws):
+        if ws is None or len(ws) <= 5:
+            return ws
+        free = [i for i, w in enumerate(ws) if w != "the"]
+        room = max(5 - (len(ws) - len(free)), 0)
+        kept = set(free[len(free) - room :] if left else free[:room])
+        return [w for i, w in enumerate(ws) if w == "the" or i in kept]
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, w array<string>")
+    got = {r.i: r.t for r in df.select("i", chats.truncated(F.col("w"), 5, left, ["the"]).alias("t")).collect()}
+    assert got == {i: brute(ws) for i, ws in enumerate(rows)}
+
+
 def test_spread_keeps_the_ends_and_goes_far(spark):
     rows = [("p", f"n{i}", v) for i, v in enumerate([0.0, 0.1, 0.5, 0.9, 1.0, 0.05, 0.95, 0.55, 0.45])]
     df = spark.createDataFrame(rows, "p string, n string, v double")
