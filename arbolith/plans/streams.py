@@ -14,12 +14,12 @@ plans = Plans()
 
 @plans.add()
 def m17_packed_stream(spark, base):
-    """Documents in containers of 8192 as they arrive; sequential, so tests hold its invariants."""
+    """Every document in a container of 8192 as they arrive; sequential, so tests hold its invariants."""
     path = scratch(spark, "m17")
     d = table(spark, base, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"), (F.col("doc_id") % 8).alias("shard"))
     d.repartition(4, "doc_id").write.parquet(path)
     rows = P.read_stream(spark, path, "doc_id long, n long, shard long")
-    return P.run_once(P.packed_stream(rows, "shard", "doc_id", "n", 8192), "m17out")
+    return P.run_to_end(P.packed_intervals(rows, "shard", "doc_id", "n", 8192), path, "shard", "doc_id", "n", "m17out")
 
 
 @plans.add("SELECT task_id, node_id, status FROM (SELECT *, row_number() OVER (PARTITION BY task_id, node_id ORDER BY written_at DESC, loaded_at DESC) AS r FROM search_nodes) WHERE r = 1")

@@ -11,6 +11,7 @@ from arbolith.operators import advantage, chats, ordering, preference, sampling,
 from arbolith.sources import catalog, files, registry
 from arbolith.streaming import packing
 from arbolith.tables import latest
+from tests.compare import SMALL
 
 
 def one(df):
@@ -105,6 +106,32 @@ def test_packed_stream_keeps_the_capacity(spark):
     assert 0 < left <= 2 * 100  # only the open containers are held back
 
 
+def test_packed_intervals_bring_out_every_item(spark):
+    path = storage.scratch(spark, "t")
+    size = F.when(F.col("id") == 5, 250).otherwise(F.col("id") * 7 % 40 + 1).cast("long")
+    spark.range(700).select(F.col("id"), size.alias("n"), (F.col("id") % 2).alias("s")).repartition(3).write.parquet(path)
+    rows = packing.read_stream(spark, path, "id long, n long, s long")
+    got = packing.run_to_end(packing.packed_intervals(rows, "s", "id", "n", 100), path, "s", "id", "n").collect()
+    assert sorted(r.item for r in got) == list(range(700))
+    bins = {}
+    for r in got:
+        bins.setdefault((r.shard, r.bin, r.total), []).append(250 if r.item == 5 else r.item * 7 % 40 + 1)
+    assert all(sum(ns) == total and (total <= 100 or len(ns) == 1) for (_, _, total), ns in bins.items())
+    assert len({k[:2] for k in bins}) == len(bins)
+
+
+def test_best_fit_takes_the_fullest_bin():
+    assert packing.best_fit([("a", 3), ("b", 6), ("c", 7), ("d", 2), ("e", 12)], 10) == [[("e", 12)], [("c", 7), ("a", 3)], [("b", 6), ("d", 2)]]
+    assert packing.best_fit([], 10) == []
+
+
+def test_m17_has_every_document(spark):
+    from arbolith.plans import streams
+
+    got = [r.item for r in streams.m17_packed_stream(spark, SMALL).select("item").collect()]
+    assert sorted(got) == sorted(r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
+
+
 @pytest.mark.parametrize("left", [False, True])
 def test_truncation_protects_tokens(spark, left):
     rng = np.random.default_rng(5)
