@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 SPAN = 1.33
 
 
-def shift_in_batches(df: DataFrame, ordinal: str, text: str, size: int) -> DataFrame:
-    """``shifted``: the text of the row before in batches of ``size`` by 0-based ``ordinal``; the first takes the batch's last."""
+def shift_in_batches(df: DataFrame, ordinal: str, text: str, size: int, group: Sequence[str] = ()) -> DataFrame:
+    """``shifted``: the text of the row before in batches of ``size`` by 0-based ``ordinal``; the first takes the batch's last.
+
+    With ``group`` the ordinal counts within each group, and no batch spans two.
+    """
     batch = F.floor(F.col(ordinal) / size)
-    w = Window.partitionBy(batch).orderBy(ordinal)
+    w = Window.partitionBy(*group, batch).orderBy(ordinal)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.row_number().over(w) == 1
     return df.withColumn("shifted", F.when(first, F.last(text).over(whole)).otherwise(F.lag(text).over(w)))

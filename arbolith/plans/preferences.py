@@ -23,12 +23,12 @@ def candidates(spark, base):
         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lag(answer) OVER b END AS shifted
     FROM o WINDOW b AS (PARTITION BY user_id, n // 8 ORDER BY n)""")
 def w11_shift(spark, base):
-    """Batches of 8 within each user; the ordinal carries the user in its high part."""
+    """Batches of 8 within each user, however many events that user has."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    df = candidates(spark, base).withColumn("n", F.col("user_id") * 80_000 + n)
-    return P.shift_in_batches(df, "n", "answer", 8).select("event_id", "shifted")
+    df = candidates(spark, base).withColumn("n", n)
+    return P.shift_in_batches(df, "n", "answer", 8, ["user_id"]).select("event_id", "shifted")
 
 
 @plans.add(C + """, b AS (SELECT user_id, event_type, arg_max(answer, (value, -event_id)) AS chosen, max(value) AS chosen_score FROM c GROUP BY 1, 2)

@@ -132,6 +132,19 @@ def test_m17_has_every_document(spark):
     assert sorted(got) == sorted(r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect())
 
 
+def test_shift_in_batches_stays_in_a_long_group(spark, tmp_path):
+    from arbolith.plans import preferences
+
+    n = F.col("id")
+    user = F.when(n < 80_010, 1).otherwise(2).cast("long")
+    spark.range(80_020).select(n.alias("event_id"), user.alias("user_id"), F.lit("x").alias("event_type"), n.cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.shifted for r in preferences.w11_shift(spark, str(tmp_path)).filter("event_id >= 80000").collect()}
+    want = {}
+    for first, last in ((80_000, 80_008), (80_008, 80_010), (80_010, 80_018), (80_018, 80_020)):
+        want |= {i: str((last if i == first else i) - 1) for i in range(first, last)}
+    assert got == want
+
+
 @pytest.mark.parametrize("left", [False, True])
 def test_truncation_protects_tokens(spark, left):
     rng = np.random.default_rng(5)
