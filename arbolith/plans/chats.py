@@ -194,11 +194,21 @@ def n10_history(spark, base):
 
 @plans.add("""SELECT id, [{'role': 'user', 'content': trim(question)}, {'role': 'assistant', 'content': trim(answer)}] AS messages FROM tasks WHERE answer <> '' AND question <> '' AND NOT contains(question, chr(10))""")
 def n11_dialogue(spark, base):
+    """Questions of one line; :func:`n11_dialogue_all` has the others too."""
     t = table(spark, base, "tasks").filter("answer <> '' AND question <> ''").filter(~F.col("question").contains("\n"))
     text = F.concat(F.lit("\n\nHuman: "), "question", F.lit("\n\nAssistant: "), "answer")
     return t.select("id", C.dialogue(text).alias("messages")).select("id", pairs().alias("messages"))
 
 
+@plans.add(r"""SELECT id, [{'role': 'user', 'content': regexp_replace(question, '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g')},
+    {'role': 'assistant', 'content': regexp_replace(answer, '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g')}] AS messages FROM tasks WHERE answer <> '' AND question <> ''""")
+def n11_dialogue_all(spark, base):
+    """Turns of any number of lines."""
+    t = table(spark, base, "tasks").filter("answer <> '' AND question <> ''")
+    text = F.concat(F.lit("\n\nHuman: "), "question", F.lit("\n\nAssistant: "), "answer")
+    return t.select("id", C.dialogue(text).alias("messages")).select("id", pairs().alias("messages"))
+
+
 @plans.add("SELECT id, 'question' AS kind, question AS text FROM tasks UNION ALL SELECT id, 'answer', answer FROM tasks")
 def n12_two_rows(spark, base):
     both = F.array(F.struct(F.lit("question").alias("kind"), F.col("question").alias("text")), F.struct(F.lit("answer").alias("kind"), F.col("answer").alias("text")))

@@ -163,6 +163,12 @@ def test_truncation_protects_tokens(spark, left):
     assert got == {i: brute(ws) for i, ws in enumerate(rows)}
 
 
+def test_dialogue_keeps_lines_of_a_turn(spark):
+    df = spark.createDataFrame([("\n\nHuman: a\nb\n\nc\n\n\nAssistant: \u00a0d\n- e \n",)], "t string")
+    got = one(df.select(chats.dialogue(F.col("t")).alias("m"))).m
+    assert [(m.role, m.content) for m in got] == [("user", "a\nb\n\nc"), ("assistant", "d\n- e")]
+
+
 def test_spread_keeps_the_ends_and_goes_far(spark):
     rows = [("p", f"n{i}", v) for i, v in enumerate([0.0, 0.1, 0.5, 0.9, 1.0, 0.05, 0.95, 0.55, 0.45])]
     df = spark.createDataFrame(rows, "p string, n string, v double")
