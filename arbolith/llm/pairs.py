@@ -65,11 +65,11 @@ COURTESY = re.compile(
 CHOICE = re.compile(r"\\boxed\s*\{\s*(?:\\text\s*\{)?\s*[A-Za-z0-9]|(?:answer|choice|chosen|option)\W{0,4}\s*\(?[A-J]\b|\*\*\(?[A-J]\)?\*\*|→\s*[A-J]\b|\([A-J]\)\s*$|\"answer\"\s*:")
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 INVISIBLE = regex.compile(r"[\s\p{Cf}\p{Cc}\p{Z}\u115F\u1160\u3164\uFFA0\u2800]+")
+ASCII_INVISIBLE = re.compile(r"[\x00-\x20\x7f]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 ASCII_WORD = re.compile(r"[0-9a-z]+")
-SOMETHING = re.compile(r"[0-9A-Za-z]")
 EMPTY_BOX = re.compile(r"(?:(?:my |the )?(?:final )?answer(?: is)?\s*:?\s*)?\$*\\boxed\s*\{\s*(?:\\text\s*\{\s*\})?\s*\}\$*\.?", re.I)
-MARKS = re.compile(r"^[\s<>()\[\]{}`*_\"'.$:|\\/~-]+|[\s<>()\[\]{}`*_\"'.$:|\\/~-]+$")
+MARKS = " <>()[]{}`*_\"'.$:|\\/~-"
 # Frequent words of languages in Latin letters.
 STOPWORDS = {
     "en": "the of and to in is that it for on with as are be by this which if then than from its at was not have has does when how what so",
@@ -135,14 +135,12 @@ def is_empty(answer: str | None, error: str | None) -> bool:
     """Nothing but white space, invisible characters, a placeholder, an empty box or block, or the error itself."""
     if not answer:
         return True
-    if len(answer) > 80 + len(error or "") and SOMETHING.search(answer):
-        return False  # longer than any of these
-    seen = INVISIBLE.sub(" ", answer).strip()
-    bare = MARKS.sub("", seen)
+    seen = (ASCII_INVISIBLE if answer.isascii() else INVISIBLE).sub(" ", answer).strip()
+    bare = seen.strip(MARKS)
     if not seen or bare.lower() in PLACEHOLDERS or any(map(EMPTY_BOX.fullmatch, (bare, seen, seen.replace("*", "").strip()))):
         return True
     own = INVISIBLE.sub(" ", error or "").strip()
-    return bool(own) and bare == MARKS.sub("", own)
+    return bool(own) and bare == own.strip(MARKS)
 
 
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
@@ -199,8 +197,6 @@ def _opening(answer: str, said: list[str], prompt: list[str]) -> tuple[str | Non
     """
     sentences = [s for s in map(str.strip, SENTENCE.split(answer)) if s]
     refuses = not answer.isascii() or not REFUSING.isdisjoint(said)
-    if not refuses and len(sentences) > 2:
-        return None, False  # two sentences at most are an opening and a courtesy
     first = None
     for s in sentences:
         low = s.lower().replace("’", "'")

@@ -117,6 +117,20 @@ def test_lines_on_a_limit_are_whole_only_if_most_end_so_elsewhere(spark):
     assert {r.k for r in got.collect()} == {f"open{i}" for i in range(30)} | {f"cut{i}" for i in range(6)}
 
 
+@pytest.mark.parametrize("pad", [" " * 200, "\n" * 200, "\u200b" * 200])
+@pytest.mark.parametrize(("answer", "error"), [("N/A", None), ("\\boxed{}", None), ("HTTP 504: timed out.", "HTTP 504: timed out.")])
+def test_padded_placeholders_are_empty(pad, answer, error):
+    assert pairs.is_empty(pad + answer + pad, error)
+    assert not pairs.is_empty(pad + "The mass is four kilograms." + pad, error)
+    assert pairs.is_empty("- " * 200 + "N/A" + " -" * 200, None)
+
+
+def test_courtesies_are_not_counted_as_sentences():
+    said = "This request goes beyond my remit. Please consult an expert. Feel free to send another question."
+    assert pairs.look("What is the mass of the box?", said, None).opening is not None
+    assert pairs.look("What is the mass of the box?", said + " It weighs four kilograms.", None).opening is None
+
+
 # ---- top N
 
 
