@@ -107,6 +107,7 @@ def m14_rank_batches(spark, base):
 @plans.add("""WITH d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p FROM documents WHERE n_chars IS NOT NULL)
     SELECT doc_id, p // 64 * 64 + row_number() OVER (PARTITION BY p // 64 ORDER BY n_chars DESC, doc_id) - 1 AS slot FROM d""")
 def m15_length_grouped(spark, base):
+    """Documents with a length; :func:`m15_length_grouped_all` has those without text too."""
     d = table(spark, base, "documents").select("doc_id", "n_chars").filter("n_chars IS NOT NULL")
     return M.length_grouped(d, "n_chars", 64, 42, "doc_id").select("doc_id", "slot")
 
@@ -115,6 +116,13 @@ def _lengths(spark, base):
     return table(spark, base, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
 
 
+@plans.add("""WITH d AS (SELECT doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS p FROM documents)
+    SELECT doc_id, p // 64 * 64 + row_number() OVER (PARTITION BY p // 64 ORDER BY n DESC, doc_id) - 1 AS slot FROM d""")
+def m15_length_grouped_all(spark, base):
+    """The whole table; a document without text has length 0."""
+    return M.length_grouped(_lengths(spark, base), "n", 64, 42, "doc_id").select("doc_id", "slot")
+
+
 @plans.add()
 def m16_packed(spark, base):
     """Documents in bins of 8192 characters; sequential, so tests hold its invariants against brute force."""
