@@ -1,8 +1,7 @@
 """Search trees: classification, roll-ups over descendants, trajectories, ranking and pruning.
 
 Trees come with a ``path`` from :func:`arbolith.operators.hierarchy.hierarchy`;
-roll-ups explode it, so each costs one aggregation however deep the trees are,
-and a hub's descendants are counted before the shuffle.
+roll-ups use its sums, which are aggregated before each shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbolith.functions.scalars import truthy
+from arbolith.operators.hierarchy import hierarchy
 
 
 def node_class(max_depth: int) -> Column:
@@ -29,29 +29,27 @@ def node_class(max_depth: int) -> Column:
     )
 
 
-def roll_up(tree: DataFrame, scope: Sequence[str], node: str, leaf: Column, open_: Column, correct: Column) -> DataFrame:
+def roll_up(df: DataFrame, scope: Sequence[str], node: str, parent: str, leaf: Column, open_: Column, correct: Column) -> DataFrame:
     """scope, node, terminals, correct, has_open, accuracy over the nodes below (null where there are none).
 
     ``leaf`` says which nodes count as terminals, ``open_`` which as open,
-    ``correct`` which terminals are right.
+    ``correct`` which terminals are right; null counts as false. Sums travel
+    up with the peeled leaves, a row per link. Nodes on or below loops give none.
     """
-    marked = tree.filter("path IS NOT NULL").select(
-        *scope,
-        F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("above"),
-        F.coalesce(leaf, F.lit(False)).cast("int").alias("leaf"),
-        F.coalesce(open_, F.lit(False)).alias("open"),
-        F.coalesce(leaf & correct, F.lit(False)).cast("int").alias("right"),
-    )
-    below = marked.select(*scope, F.explode("above").alias(node), "leaf", "open", "right")
-    sums = below.groupBy(*scope, node).agg(F.sum("leaf").alias("terminals"), F.sum("right").alias("correct"), F.max("open").alias("has_open"))
-    out = tree.filter("path IS NOT NULL").select(*scope, node).join(sums, [*scope, node], "left")
-    return out.select(
+    marks = {
+        "leaf": F.coalesce(leaf, F.lit(False)).cast("int"),
+        "open": F.coalesce(open_, F.lit(False)).cast("int"),
+        "right": F.coalesce(leaf & correct, F.lit(False)).cast("int"),
+    }
+    sums = hierarchy(df, scope, node, parent, False, marks, {f"own_{k}": v for k, v in marks.items()}).filter("hops >= 0")
+    below = {k: F.col(k) - F.col(f"own_{k}") for k in marks}
+    return sums.select(
         *scope,
         node,
-        F.coalesce("terminals", F.lit(0)).alias("terminals"),
-        F.coalesce("correct", F.lit(0)).alias("correct"),
-        F.coalesce("has_open", F.lit(False)).alias("has_open"),
-        F.try_divide("correct", "terminals").alias("accuracy"),
+        below["leaf"].alias("terminals"),
+        below["right"].alias("correct"),
+        (below["open"] > 0).alias("has_open"),
+        F.try_divide(below["right"], below["leaf"]).alias("accuracy"),
     )
 
 
@@ -70,7 +68,7 @@ def trajectories(tree: DataFrame, scope: Sequence[str], node: str, leaf: Column,
         F.when(told, F.nanvl("delegate_confidence", F.lit(None).cast("double"))).alias("__conf"),
         *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(f"__{k}") for k, c in sums.items()],
     )
-    on = leaves.join(step, [*scope, "__id"])
+    on = leaves.join(step.hint("merge"), [*scope, "__id"])
     actions = F.sort_array(F.collect_list(F.struct("at", "action")))
     return on.groupBy(*scope, "__leaf").agg(
         F.first("path").alias("node_ids"),
@@ -104,7 +102,7 @@ def children(df: DataFrame, scope: Sequence[str], node: str, parent: str) -> Dat
     """scope, node, children: the ids that are there, in order."""
     kids = df.groupBy(*scope, F.col(parent).alias(node)).agg(F.sort_array(F.collect_list(F.col(node))).alias("children"))
     none = F.array().cast("array<string>")
-    return df.select(*scope, node).join(kids, [*scope, node], "left").select(*scope, node, F.coalesce("children", none).alias("children"))
+    return df.select(*scope, node).join(kids.hint("merge"), [*scope, node], "left").select(*scope, node, F.coalesce("children", none).alias("children"))
 
 
 def top_children(df: DataFrame, group: Sequence[str], k: int, *order: Column) -> DataFrame:

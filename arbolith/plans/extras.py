@@ -191,7 +191,7 @@ def x10_scrubbed(spark, base):
     WHERE path IS NOT NULL AND NOT leaf AND NOT coalesce(is_terminal, false) AND action IN ('root', 'delegate') AND coalesce(depth, 0) < 8""")
 def g10_expandable(spark, base):
     """Nodes that may grow, with what is below them."""
-    t = materialize(trees.tree(spark, base), "tree")
-    below = T.roll_up(t, ["task_id"], "node_id", trees.is_leaf(), F.lit(False), F.coalesce(F.col("is_correct"), F.lit(False)))
+    t = materialize(trees.nodes(spark, base, *trees.FIELDS), "current")
+    below = T.roll_up(t, ["task_id"], "node_id", "parent_id", trees.is_leaf(), F.lit(False), F.coalesce(F.col("is_correct"), F.lit(False)))
     grow = t.filter(T.node_class(8) == "expandable").select("task_id", "node_id")
-    return grow.join(below, ["task_id", "node_id"]).select("task_id", "node_id", "terminals", F.round("accuracy", 6).alias("accuracy"))
+    return grow.join(below.hint("merge"), ["task_id", "node_id"]).select("task_id", "node_id", "terminals", F.round("accuracy", 6).alias("accuracy"))

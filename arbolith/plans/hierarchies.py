@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from arbolith.operators.hierarchy import descendants, hierarchy, subtree_sizes
+from pyspark.sql import functions as F
+
+from arbolith.operators.hierarchy import descendants, hierarchy
 from arbolith.plans.registry import Plans
 from arbolith.tables import latest, table
 
@@ -46,9 +48,7 @@ def p4_found(spark, base):
 )
 def p4_paths(spark, base):
     """Each node's path, depth, root and subtree size."""
-    tree = hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id")
-    sizes = subtree_sizes(tree, SCOPE, "node_id")
-    return tree.join(sizes, ["task_id", "node_id"], "left")
+    return hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id", sums={"subtree_size": F.lit(1)})
 
 
 @plans.add(
@@ -58,4 +58,4 @@ def p4_paths(spark, base):
 )
 def p4_descendants(spark, base):
     """Each node with every node below it."""
-    return descendants(hierarchy(_nodes(spark, base), SCOPE, "node_id", "parent_id"), SCOPE, "node_id")
+    return descendants(_nodes(spark, base), SCOPE, "node_id", "parent_id")

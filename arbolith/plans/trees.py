@@ -28,9 +28,9 @@ def is_leaf():
 
 
 def tree(spark, base):
-    """Current nodes with root, hops and path."""
+    """Current nodes with root, hops and path; written once, as plans read it more than once."""
     n = materialize(nodes(spark, base, *FIELDS), "current")
-    return n.join(hierarchy(n, ["task_id"], "node_id", "parent_id"), ID)
+    return materialize(n.join(hierarchy(n, ["task_id"], "node_id", "parent_id").hint("merge"), ID), "tree")
 
 
 @plans.add(NODES + """SELECT task_id, node_id, CASE WHEN action = 'submit' AND coalesce(boxed_letter, '') <> '' THEN 'submit_leaf' WHEN coalesce(is_terminal, false) THEN 'failed'
@@ -68,7 +68,8 @@ def g3_w16_w19_trajectories(spark, base):
     round(r / nullif(t, 0), 6) AS accuracy FROM f LEFT JOIN s USING (task_id, node_id) WHERE path IS NOT NULL""")
 def a8_g4_roll_up(spark, base):
     opened = F.col("action").isin("root", "delegate") & ~F.coalesce(F.col("is_terminal"), F.lit(False))
-    out = T.roll_up(tree(spark, base), ["task_id"], "node_id", is_leaf(), opened, F.coalesce(F.col("is_correct"), F.lit(False)))
+    n = materialize(nodes(spark, base, *FIELDS), "current")
+    out = T.roll_up(n, ["task_id"], "node_id", "parent_id", is_leaf(), opened, F.coalesce(F.col("is_correct"), F.lit(False)))
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
@@ -77,7 +78,7 @@ def g5_reachable(spark, base):
     """Nodes that a node with the root action reaches as its tree's root."""
     t = tree(spark, base)
     roots = t.filter("action = 'root'").select("task_id", F.col("node_id").alias("root_id"))
-    return t.filter("hops >= 0").join(roots, ["task_id", "root_id"], "left_semi").select(*ID)
+    return t.filter("hops >= 0").join(roots.hint("merge"), ["task_id", "root_id"], "left_semi").select(*ID)
 
 
 @plans.add(NODES + """SELECT task_id, node_id FROM n WHERE action = 'root' OR NOT coalesce(action = 'error' OR (action = 'submit' AND coalesce(boxed_letter, '') = ''), false)""")

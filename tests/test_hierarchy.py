@@ -1,4 +1,8 @@
-from arbolith.operators.hierarchy import descendants, hierarchy, subtree_sizes
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from arbolith.operators.hierarchy import descendants, hierarchy
 
 SCOPE = ["task_id"]
 
@@ -28,15 +32,20 @@ def brute(rows):
 def check(spark, nodes_frame, rows):
     want = brute(rows)
     df = nodes_frame(rows)
-    tree = hierarchy(df, SCOPE, "node_id", "parent_id")
+    tree = hierarchy(df, SCOPE, "node_id", "parent_id", sums={"size": F.lit(1), "half": F.lit(0.5)}, keep={"own": F.col("hops")}).cache()
     got = {(r.task_id, r.node_id): (r.root_id, r.hops, r.path) for r in tree.collect()}
     assert got == want
     short = hierarchy(df, SCOPE, "node_id", "parent_id", paths=False)
     assert {(r.task_id, r.node_id): (r.root_id, r.hops) for r in short.collect()} == {k: v[:2] for k, v in want.items()}
-    below = {(r.task_id, r.node_id, r.descendant_id, r.distance) for r in descendants(tree, SCOPE, "node_id").collect()}
+    rows_below = descendants(df, SCOPE, "node_id", "parent_id").collect()
+    below = {(r.task_id, r.node_id, r.descendant_id, r.distance) for r in rows_below}
+    assert len(below) == len(rows_below)
     assert below == {(t, a, n, len(p) - 1 - i) for (t, n), (_, _, p) in want.items() if p for i, a in enumerate(p[:-1])}
-    sizes = {(r.task_id, r.node_id): r.subtree_size for r in subtree_sizes(tree, SCOPE, "node_id").collect()}
-    assert sum(sizes.values()) == sum(len(p) for *_, p in want.values() if p)
+    sizes = Counter((t, a) for (t, n), (_, _, p) in want.items() if p for a in p)
+    assert {(r.task_id, r.node_id): r.size for r in tree.collect()} == {k: sizes.get(k) for k in want}
+    assert {(r.task_id, r.node_id): r.half for r in tree.collect()} == {k: sizes[k] / 2 if k in sizes else None for k in want}
+    assert {r.own for r in tree.collect()} == {7}
+    tree.unpersist()
 
 
 def test_small_forest(spark, nodes_frame):
