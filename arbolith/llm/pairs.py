@@ -12,21 +12,25 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbolith.llm.truncation import truncated_values
 from arbolith.storage import materialize
 from arbolith.tables import latest
 
-#: Openings are compared by shingles of so many words, from this similarity on.
+#: Templates are compared by shingles of so many words, from this similarity on.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of so many hashes; at SIMILAR a pair meets in some band with probability 0.985.
 BANDS, ROWS = 8, 4
-#: A cluster of openings recurs if its answers belong to so many prompts.
-RECURS = 3
-#: Words of an opening.
-OPENING = 16
+#: A template recurs if its answers belong to so many prompts, and tells something if it has so many words of its own.
+RECURS, OWN = 3, 2
+#: A recurring template reveals refusals if at most this share of the answers with it names an option or a value.
+ANSWERS = 0.25
+#: A word is topical if so large a share of the answers that have it have it from their own prompt.
+TOPICAL = 0.05
+#: Topical words are kept as a bit each in so many slots (512 KB), however many words there are.
+SLOTS = 1 << 22
 #: A copy covers so much of the prompt's words and has at most this share of others, or so many.
 COPIED, NOVEL, NOVEL_WORDS = 0.75, 0.12, 2
 
@@ -35,35 +39,12 @@ PLACEHOLDERS = frozenset(
     "n/a na none null nil nan empty no_answer no-answer undefined unknown tbd todo missing - -- --- . .. ... … ? "
     "_ * # /".split()
 ) | {"no answer", "not available", "not applicable", "no response", "no reply", "no output", "to be done", ""}
-# Refusals in several languages, as patterns on a lower-case sentence.
-REFUSAL = re.compile(
-    r"\bi (?:can'?t|cannot|can not|could not|couldn'?t|won'?t|will not|am unable|am not able|must decline|have to decline|decline|refuse|'d rather not|would rather not|prefer not)\b(?! see)"
-    r"|\bi'd rather not\b|\bi'm (?:unable|not able|not allowed|not permitted)\b|\bi (?:have to|must) (?:pass|refuse|decline|leave)\b"
-    r"|\b(?:has|have) to be (?:declined|refused|left to)\b|\bmust be (?:declined|refused)\b|\bno (?:reply|answer|response|comment|opinion)\b (?:can|will|may|on|about|from)\b"
-    r"|\bno comment\b|\bisn'?t possible for me\b|\bis not possible for me\b|\bnot something i\b|\bi(?:'m| am) allowed to\b|\birresponsible of me\b"
-    r"|\bforbids?\b.{0,40}\b(?:opinion|answer|comment)|\bfind someone else\b|\boff limits\b|\b(?:aren't|isn't|not) covered by (?:this|my|the)\b"
-    r"|\boutside what (?:may|can)\b|\bmy (?:guidelines|role|policy|policies|instructions)\b.{0,30}\b(?:don't|doesn't|forbid|prohibit|prevent|do not|does not)"
-    r"|\bagainst my (?:guidelines|policy|policies|instructions)\b|\bnot (?:able|allowed|permitted) to (?:answer|help|assist|give|respond)\b|\bstays open\b"
-    r"|\bje (?:ne peux|ne suis pas|dois refuser|préfère ne pas|refuse|ne souhaite pas)|\bimpossible (?:pour moi|de répondre)|\bil m'est impossible"
-    r"|\bkann ich (?:leider )?(?:nicht|keine)|\bich kann .{0,30}\bnicht\b|\bdarf ich\b.{0,40}\b(?:nicht|keine)|\bich darf\b.{0,40}\bnicht\b|\bmöchte ich mich nicht\b|\bich möchte\b.{0,30}\bnicht\b|\bmuss ich .{0,30}\bablehnen\b|\bnicht äußern\b"
-    r"|\bno puedo\b|\bdebo rechazar\b|\bprefiero no\b|\bno me es posible\b|\bno estoy (?:autorizado|en condiciones)|\bnão posso\b|\bprefiro não\b|\bnon posso\b|\bpreferisco non\b"
-    r"|не могу|не буду|отказ|воздержусь|не имею права|предпочитаю не|вынужден"
-    r"|无法(?:回答|提供|协助|帮助)|不能(?:回答|提供|协助|帮助)|不便(?:回答|评论|透露)|拒绝|抱歉|恕不|お答えできません|回答できません"
-)
-# Words of which every refusal in plain ASCII has one; a quick look before the patterns.
-REFUSING = frozenset(
-    "can cannot could couldn won will unable able decline refuse rather prefer allowed permitted pass leave declined refused left "
-    "reply answer response comment opinion possible something irresponsible forbid forbids someone limits covered outside may "
-    "guidelines role policy policies instructions stays je impossible ich nicht puedo debo prefiero posible estoy posso prefiro preferisco".split()
-)
-# What goes with an apology or a refusal and answers nothing.
-COURTESY = re.compile(
-    r"\b(?:consult|ask) (?:an expert|a professional|something else|someone else|qualified)|\bfeel free\b|\banother (?:task|matter|question|topic)\b"
-    r"|\bsomething else\b|\bisn't visible\b|\bmy guidelines\b|\bas an? (?:large )?(?:language model|ai)\b|\bqualified staff\b"
-    r"|^(?:i'm |i am )?sorry\b|\bapolog|^thank you\b|^unfortunately\b|^with regret\b|\bdésolé|\bmalheureusement|\bleider\b|\bes tut mir leid|\blo siento\b|\bpor desgracia\b|сожалению|извините"
-)
 CHOICE = re.compile(r"\\boxed\s*\{\s*(?:\\text\s*\{)?\s*[A-Za-z0-9]|(?:answer|choice|chosen|option)\W{0,4}\s*\(?[A-J]\b|\*\*\(?[A-J]\)?\*\*|→\s*[A-J]\b|\([A-J]\)\s*$|\"answer\"\s*:")
-SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
+#: An option's letter alone at the end of a sentence.
+LETTER = re.compile(r"(?<![A-Za-z0-9'’])[A-HJ](?=[\s.)\]*\"]*(?:$|\n|[.!?。]))")
+#: Words and what ends a clause; letters of scripts without spaces are words of their own.
+TOKEN = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{Nd}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+|[.!?:;,](?=\s)|[。！？；：，\n]")
+ASCII_TOKEN = re.compile(r"[0-9a-z]+|[.!?:;,](?=\s)|\n")
 INVISIBLE = regex.compile(r"[\s\p{Cf}\p{Cc}\p{Z}\u115F\u1160\u3164\uFFA0\u2800]+")
 ASCII_INVISIBLE = re.compile(r"[\x00-\x20\x7f]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
@@ -158,67 +139,82 @@ class Look(NamedTuple):
     empty: bool
     copy: bool
     foreign: bool
-    opening: str | None
-    cue: bool
+    choice: bool
+    said: str | None
 
 
 QUOTING = re.compile(r"^\W*(?:you asked|the question (?:asks|is|was)|question|q|asked|prompt)\s*:\s*", re.I)
 
 
 def look(prompt: str | None, answer: str | None, error: str | None) -> Look:
-    """The checks of one pair; the opening only if nothing besides it answers."""
+    """The checks of one pair, and what it says in clauses; ``choice``: it names an option, or a value the prompt hasn't."""
     if is_empty(answer, error):
-        return Look(True, False, False, None, False)
+        return Look(True, False, False, False, None)
     said = QUOTING.sub("", answer)
-    choice = bool(CHOICE.search(answer))
     a_words = words_of(said)
-    p_words, target = _prompt(prompt or "")
-    copy = not choice and is_copy(p_words, a_words)
+    p_words, known, target = _prompt(prompt or "")
+    named = bool(CHOICE.search(answer))
+    copy = not named and is_copy(p_words, a_words)
     foreign = False
     if target is not None and len(answer) > 8:
         spoken = language(said, a_words)
         foreign = spoken is not None and spoken != target
-    opening, cue = None, False
-    if not choice:
-        opening, cue = _opening(answer, a_words, p_words)
-    return Look(False, copy, foreign, opening, cue)
+    text = clauses(answer, known)
+    return Look(False, copy, foreign, named or not text or "#" in text or bool(LETTER.search(answer)), text)
 
 
 @lru_cache(maxsize=4096)
-def _prompt(prompt: str) -> tuple[list[str], str | None]:
+def _prompt(prompt: str) -> tuple[list[str], frozenset[str], str | None]:
     words = words_of(prompt)
-    return words, language(prompt, words)
+    return words, frozenset(words).union(_tokens(prompt)), language(prompt, words)
+
+
+def _tokens(text: str) -> list[str]:
+    return ASCII_TOKEN.findall(text.lower()) if text.isascii() else TOKEN.findall(text.lower())
+
+
+def clauses(answer: str, known: frozenset[str]) -> str:
+    """The clauses of ``answer``, one a line: its words in lower case, with _ before those of the prompt, and # for other numbers."""
+    out, line = [], []
+    for t in _tokens(answer):
+        if t in known and t[0].isalnum():
+            line.append("_" + t)
+        elif t.isdigit():
+            line.append("#")
+        elif t[0].isalpha() or t.isalnum():
+            line.append(t)
+        elif line:
+            out.append(" ".join(line))
+            line = []
+    if line:
+        out.append(" ".join(line))
+    return "\n".join(out)
+
+
+@lru_cache(maxsize=1 << 18)
+def slot(word: str) -> int:
+    """The slot of a word, as Spark's xxhash64 of it gives it."""
+    return xxhash.xxh64_intdigest(word, seed=42) & (SLOTS - 1)
+
+
+def template(clause: str, topical: np.ndarray) -> str:
+    """A line of :func:`clauses` with a _ for each run of topical words."""
+    out: list[str] = []
+    for w in clause.split(" "):
+        if w[0] == "_" or w != "#" and topical[slot(w)]:
+            if not out or out[-1] != "_":
+                out.append("_")
+        else:
+            out.append(w)
+    return " ".join(out)
 
 
-def _opening(answer: str, said: list[str], prompt: list[str]) -> tuple[str | None, bool]:
-    """(first sentence that is no mere courtesy, with the prompt's longer words and numbers masked; whether it refuses).
+def own_words(frame: str) -> int:
+    return sum(w not in ("_", "#") for w in frame.split(" "))
 
-    None if some other sentence neither refuses nor is a courtesy: that one answers.
-    """
-    sentences = [s for s in map(str.strip, SENTENCE.split(answer)) if s]
-    refuses = not answer.isascii() or not REFUSING.isdisjoint(said)
-    first = None
-    for s in sentences:
-        low = s.lower().replace("’", "'")
-        if refuses and REFUSAL.search(low):
-            if first is None or not first[1]:
-                if first is not None:
-                    return None, False
-                first = (low, True)
-        elif COURTESY.search(low):
-            continue
-        elif first is None:
-            first = (low, False)
-        else:
-            return None, False
-    if first is None:
-        return None, False
-    words = WORD.findall(first[0])[:OPENING]
-    return " ".join("#" if w.isdigit() else "_" if len(w) > 3 and w in prompt else w for w in words), first[1]
 
-
-def shingles(opening: str) -> set[int]:
-    words = opening.split()
+def shingles(frame: str) -> set[int]:
+    words = frame.split()
     n = max(1, len(words) - SHINGLE + 1)
     return {xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)}
 
@@ -226,9 +222,9 @@ def shingles(opening: str) -> set[int]:
 _MIX = np.random.default_rng(7).integers(1, 2**63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def bands(opening: str) -> list[int]:
-    """A bucket per band of the MinHash of the opening's shingles."""
-    x = np.fromiter(shingles(opening), np.uint64)[:, None]
+def bands(frame: str) -> list[int]:
+    """A bucket per band of the MinHash of the template's shingles."""
+    x = np.fromiter(shingles(frame), np.uint64)[:, None]
     with np.errstate(over="ignore"):
         h = (x * _MIX[0] + _MIX[1]) ^ (x >> np.uint64(29)) * _MIX[1]
     low = h.min(axis=0).reshape(BANDS, ROWS)
@@ -240,76 +236,144 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def looked(df: DataFrame, keys: list[str], prompt: str, answer: str, error: str) -> DataFrame:
-    """keys and the checks of :func:`look`, in Arrow batches."""
+def looked(df: DataFrame, keys: list[str], prompt: str, answer: str, error: str, live: str | None = None) -> DataFrame:
+    """keys and the checks of :func:`look`, in Arrow batches; rows that aren't ``live`` are not looked at."""
     kinds = dict(df.dtypes)
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], prompt, answer, error)
+    use = F.coalesce(F.col(live), F.lit(False)) if live else F.lit(True)
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], use.alias("use"), *[F.when(use, F.col(c)).alias(f"t{i}") for i, c in enumerate((prompt, answer, error))])
+    dead = Look(True, False, False, False, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_()]
+        types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
         for batch in batches:
-            got = [look(*r) for r in zip(*(c.to_pylist() for c in batch.columns[-3:]))]
+            got = [look(*r) if use else dead for use, *r in zip(*(c.to_pylist() for c in batch.columns[-4:]))]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *cols], names=[*names, *Look._fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *cols], names=[*names, *Look._fields])
 
     given = ", ".join(f"{n} {kinds[c]}" for c, n in zip(keys, names))
-    out = rows.mapInArrow(run, f"{given}, empty boolean, copy boolean, foreign boolean, opening string, cue boolean")
+    out = rows.mapInArrow(run, f"{given}, empty boolean, copy boolean, foreign boolean, choice boolean, said string")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keys, names)], *Look._fields)
 
 
-def refusal_openings(openings: DataFrame) -> DataFrame:
-    """opening: those of refusals, from rows of opening, cue and prompt_id.
+def topical_words(looks: DataFrame) -> np.ndarray:
+    """A flag per slot: words that answers take from their prompts, counted over all answers in their prompt's language.
 
-    Equal openings are counted first, so a template that a third of all
-    answers open with is one row. The rest are put into MinHash buckets; in
-    buckets with a refusing opening each member is held against the most
-    frequent such opening, its leader, and joins the leader's cluster if their
-    shingles are similar enough: a star, not all pairs. A cluster reveals
-    refusals if most of its answers carry a refusing phrase; if it recurs
-    across several prompts that covers its members without such a phrase too.
+    Words that share a slot are counted together; the slots' number is fixed,
+    so what the driver gets and broadcasts is 512 KB at any size.
     """
-    counted = openings.groupBy("opening").agg(
-        F.count("*").alias("n"),
-        F.sum(F.col("cue").cast("long")).alias("cues"),
-        F.approx_count_distinct("prompt_id").alias("prompts"),
+    words = looks.filter("said IS NOT NULL AND NOT foreign").select(F.explode(F.array_distinct(F.split("said", "[ \n]"))).alias("w"))
+    own = F.col("w").startswith("_")
+    word = F.when(own, F.substring("w", F.lit(2), F.length("w"))).otherwise(F.col("w"))
+    at = F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)) + 1  # the bitmap functions count from 1
+    per = words.filter("w NOT IN ('', '#')").groupBy(at.alias("slot")).agg(F.count("*").alias("n"), F.sum(own.cast("long")).alias("own"))
+    maps = (
+        per.filter(F.col("own") >= TOPICAL * F.col("n"))
+        .groupBy(F.bitmap_bucket_number("slot").alias("at"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        .collect()  # at most SLOTS / 32768 rows of 4 KB
     )
-    counted = materialize(counted, "openings")
+    out = np.zeros(SLOTS, dtype=bool)
+    for r in maps:
+        start = (r["at"] - 1) * 32768
+        out[start : start + 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    return out
+
+
+def templates(looks: DataFrame, topical: np.ndarray) -> DataFrame:
+    """row, prompt_id, choice, candidate, size and frame: every distinct template of every answer.
+
+    An answer is a candidate, which may be a refusal, if it names no option or
+    value and each of its clauses has a word that isn't topical; size is its
+    number of templates.
+    """
+    packed = looks.sparkSession.sparkContext.broadcast(np.packbits(topical))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(packed.value).astype(bool)
+        for batch in batches:
+            at, frames, able, size = [], [], [], []
+            for i, (said, choice) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+                own = {template(c, flags) for c in said.split("\n")}
+                candidate = not choice and all(map(own_words, own))
+                at += [i] * len(own)
+                frames += own
+                able += [candidate] * len(own)
+                size += [len(own)] * len(own)
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(where) for c in batch.columns[:3]), pa.array(able, pa.bool_()), pa.array(size, pa.int32()), pa.array(frames, pa.string())],
+                names=["row", "prompt_id", "choice", "candidate", "size", "frame"],
+            )
+
+    said = looks.filter("said <> ''").select("row", "prompt_id", "choice", "said")
+    return said.mapInArrow(run, "row long, prompt_id long, choice boolean, candidate boolean, size int, frame string")
+
+
+def template_clusters(counted: DataFrame) -> DataFrame:
+    """leader, frame, n, choices, prompts: each template with those it is similar to, and every one with itself.
+
+    Templates are put into MinHash buckets, held against the most frequent of
+    their bucket, the leader, and before that against their neighbour in it,
+    and joined to whichever their shingles are similar enough to. Templates
+    too short for any other to be similar enough are only alike if equal.
+    """
+    least = next(k for k in range(1, 100) if k / (k + 1) >= SIMILAR)  # shingles of the shortest that can meet a longer one
+    long = counted.filter(F.size(F.split("frame", " ")) >= least + SHINGLE - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(0).to_pylist()
             where = pa.array(np.repeat(np.arange(len(text)), BANDS))
             hashes = pa.array([b for t in text for b in bands(t)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(where) for c in batch.columns), hashes], names=["opening", "n", "cues", "prompts", "bucket"])
-
-    member = materialize(counted.mapInArrow(run, "opening string, n long, cues long, prompts long, bucket long"), "buckets")
-    leader = (
-        member.groupBy("bucket")
-        .agg(F.count("*").alias("size"), F.max(F.when(F.col("cues") * 2 >= F.col("n"), F.struct("n", "opening"))).alias("lead"))
-        .filter("size > 1 AND lead IS NOT NULL")
-        .select("bucket", F.col("lead.opening").alias("leader"))
-    )
-    pairs = member.join(leader, "bucket").select("leader", "opening", "n", "cues", "prompts").distinct()
+            yield pa.RecordBatch.from_arrays([*(c.take(where) for c in batch.columns), hashes], names=["frame", "n", "bucket"])
+
+    member = materialize(long.select("frame", "n").mapInArrow(run, "frame string, n long, bucket long"), "buckets")
+    leader = member.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct("n", "frame")).alias("lead")).filter("size > 1")
+    near = member.join(leader.select("bucket", F.col("lead.frame").alias("leader")).hint("merge"), "bucket")
+    beside = near.withColumn("leader", F.lag("frame").over(Window.partitionBy("bucket").orderBy("frame"))).filter("leader IS NOT NULL")
+    pairs = near.select("leader", "frame").unionByName(beside.select("leader", "frame")).filter("leader <> frame").distinct()
 
     def words(c: str) -> Column:
         w = F.split(c, " ")
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
 
-    both = F.size(F.array_intersect(words("leader"), words("opening")))
-    either = F.size(F.array_union(words("leader"), words("opening")))
-    verified = materialize(pairs.filter(both >= SIMILAR * either), "verified")
-    clusters = verified.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("cues").alias("cues"), F.sum("prompts").alias("prompts"))
-    good = clusters.filter("2 * cues >= n").select("leader", (F.col("prompts") >= RECURS).alias("recurs"))
-    judged = (
-        verified.join(good, "leader", "left")
-        .groupBy("opening")
-        .agg(F.max(F.col("recurs").isNotNull()).alias("in_refusals"), F.coalesce(F.max("recurs"), F.lit(False)).alias("recurs"))
+    both = F.size(F.array_intersect(words("leader"), words("frame")))
+    either = F.size(F.array_union(words("leader"), words("frame")))
+    linked = pairs.filter(both >= SIMILAR * either)
+    linked = linked.unionByName(linked.select(F.col("frame").alias("leader"), F.col("leader").alias("frame")))  # evidence counts both ways
+    own = counted.select(F.col("frame").alias("leader"), "frame", "n", "choices", "prompts")
+    return own.unionByName(linked.distinct().join(counted.hint("merge"), "frame").select(*own.columns))
+
+
+def refusals(looks: DataFrame) -> DataFrame:
+    """row: the answers that decline, from rows of :func:`looked` with ``row`` and ``prompt_id``.
+
+    What an answer says is cut into clauses, and topical words are masked. A
+    clause's template that recurs across unrelated prompts, while the answers
+    with it (or with one similar to it) hardly ever name an option or a value,
+    reveals refusals: it is what stands in an answer's place. An answer
+    declines if it has such a template, names nothing itself, and consists of
+    recurring templates only, so nothing in it is about its own question.
+
+    No list of phrases is used. The share of answers is drawn towards that of
+    the whole table by one answer, so that few cases prove nothing.
+    """
+    found = materialize(templates(looks, topical_words(looks)), "templates")
+    counted = found.groupBy("frame").agg(
+        F.count("*").alias("n"), F.sum(F.col("choice").cast("long")).alias("choices"), F.approx_count_distinct("prompt_id").alias("prompts"), F.max("candidate").alias("candidate")
     )
-    alone = 2 * F.col("cues") >= F.col("n")
-    refuses = F.when(F.col("in_refusals").isNull(), alone).when(F.col("in_refusals"), alone | F.col("recurs")).otherwise(False)
-    return counted.join(judged, "opening", "left").filter(refuses).select("opening")
+    counted = materialize(counted, "counted")
+    usual = looks.filter("said IS NOT NULL").agg(F.coalesce(F.avg(F.col("choice").cast("double")), F.lit(0.0)).alias("usual"))
+    judged = template_clusters(counted).groupBy(F.col("leader").alias("frame")).agg(*[F.sum(c).alias(c) for c in ("n", "choices", "prompts")])
+    judged = judged.filter(F.col("prompts") >= RECURS).crossJoin(F.broadcast(usual))  # one row
+    own = F.size(F.filter(F.split("frame", " "), lambda w: ~w.isin("_", "#")))
+    tells = (own >= OWN) & (F.col("choices") + F.col("usual") <= ANSWERS * (F.col("n") + 1))
+    judged = judged.join(counted.filter("candidate").select("frame").hint("merge"), "frame", "left_semi").select("frame", tells.alias("tells"))
+    on = found.filter("candidate").join(judged.hint("merge"), "frame")
+    per = on.groupBy("row").agg(F.count("*").alias("known"), F.first("size").alias("size"), F.max("tells").alias("tells"))
+    return per.filter("tells AND known = size").select("row")
 
 
 def pair_defects(
@@ -320,8 +384,7 @@ def pair_defects(
     A pair has the first that holds of: empty (nothing but white space,
     invisible characters, a placeholder, an empty box or its own error),
     truncated (a lost tail, see :func:`truncated_values`; ``source`` names what
-    wrote the answer), refusal (its opening belongs to a cluster of refusals
-    and nothing else answers), copy (nearly all of the prompt's words and no
+    wrote the answer), refusal (see :func:`refusals`), copy (nearly all of the prompt's words and no
     others), language (running text in another language than the prompt).
 
     With ``order`` only the current version of each key counts, and with
@@ -337,16 +400,16 @@ def pair_defects(
     own = keys if order else [*keys, "__row"]
     if not order:
         at = materialize(at, "pairs")
-    looks = looked(at, [*own, *order, *flag, "prompt_id"], "__q", "__a", "__e")
+    looks = looked(at, [*own, *order, *flag, "prompt_id"], "__q", "__a", "__e", live)
     if order:
         looks = latest(looks, keys, order)
     if live:
         looks = looks.filter(F.col(live))
-    looks = materialize(looks.drop(*order, *flag), "looks")
+    looks = materialize(looks.drop(*order, *flag).withColumn("row", F.monotonically_increasing_id()), "looks")
     cut = truncated_values(at, own, {"__a": "__s"}, order).filter("truncated").select(*own, F.lit(True).alias("cut"))
     same = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(own)]
     cut = cut.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(own)], "cut")
-    refusals = refusal_openings(looks.filter("opening IS NOT NULL AND NOT empty")).withColumn("refusal", F.lit(True))
+    declined = refusals(looks).withColumn("refusal", F.lit(True))
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("cut"), "truncated")
@@ -354,5 +417,5 @@ def pair_defects(
         .when(F.col("copy"), "copy")
         .when(F.col("foreign"), "language")
     )
-    out = looks.join(cut, same, "left").join(refusals, "opening", "left")
+    out = looks.drop("said").join(cut.hint("merge"), same, "left").join(declined.hint("merge"), "row", "left")
     return out.select(*keys, defect.alias("defect")).filter("defect IS NOT NULL")

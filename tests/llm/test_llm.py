@@ -125,12 +125,6 @@ def test_padded_placeholders_are_empty(pad, answer, error):
     assert pairs.is_empty("- " * 200 + "N/A" + " -" * 200, None)
 
 
-def test_courtesies_are_not_counted_as_sentences():
-    said = "This request goes beyond my remit. Please consult an expert. Feel free to send another question."
-    assert pairs.look("What is the mass of the box?", said, None).opening is not None
-    assert pairs.look("What is the mass of the box?", said + " It weighs four kilograms.", None).opening is None
-
-
 # ---- top N
 
 
@@ -182,12 +176,55 @@ def test_top_n_against_brute_force(spark, n):
 )
 def test_pair_looks(prompt, answer, error, defect):
     seen = pairs.look(prompt, answer, error)
-    found = "empty" if seen.empty else "refusal" if seen.cue else "copy" if seen.copy else "language" if seen.foreign else None
-    assert found == (None if defect == "truncated" else defect)
+    found = "empty" if seen.empty else "copy" if seen.copy else "language" if seen.foreign else None
+    if defect == "refusal":  # what declines shows over all answers, but it names nothing itself
+        assert not seen.choice and found in (None, "language")
+    else:
+        assert found == (None if defect == "truncated" else defect)
+
+
+def test_what_an_answer_says_in_clauses():
+    seen = pairs.look("What is the mass of box 7?", "The mass, as weighed, is that of box 7. Nothing else.", None)
+    assert seen.said == "_the _mass\nas weighed\n_is that _of _box _7\nnothing else" and not seen.choice
+    assert pairs.look("What is it?", "It weighs 4 kg.", None).choice
+    assert pairs.look("什么是质量", "остаётся только вариант C.", None).choice
+    assert pairs.look("q", "无法 回答", None).said == "无 法 回 答"
+    topical = np.zeros(pairs.SLOTS, dtype=bool)
+    topical[pairs.slot("mass")] = True
+    assert pairs.template("no mass _box is off # limits", topical) == "no _ is off # limits"
+
+
+def test_slots_are_those_of_spark(spark):
+    words = ["mass", "größe", "质", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").bitwiseAND(F.lit(pairs.SLOTS - 1))).collect()
+    assert [r[0] for r in got] == [pairs.slot(w) for w in words]
+
+
+def _answers():
+    """(prompt, answer, declines): answers of few kinds with options, some without, and two templates that decline."""
+    rng = np.random.default_rng(3)
+    nouns = [f"thing{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = []
+    for i in range(400):
+        a, b = rng.choice(nouns, 2, replace=False)
+        tail = f" The answer is {'ABCD'[i % 4]}." if i % 5 else ""
+        rows.append((f"What does the {a} do to the {b} in case {i}?", f"I'm sorry for the delay. The {a} drives the {b}.{tail}", False))
+    for i in range(12):
+        a, b = rng.choice(nouns, 2, replace=False)
+        rows.append((f"What does the {a} do to the {b} in trial {i}?", f"Alas, the {b} lies beyond my remit. Kindly try elsewhere.", True))
+        rows.append((f"What does the {a} do to the {b} in round {i}?", "Hier hilft leider gar nichts weiter.", True))
+    return rows
+
+
+def test_refusals_are_found_without_a_list_of_phrases(spark):
+    rows = [(str(i), *r) for i, r in enumerate(_answers())]
+    df = spark.createDataFrame(rows, "k string, q string, a string, declines boolean").withColumn("e", F.lit(None).cast("string")).withColumn("s", F.lit("m"))
+    got = {r.k for r in pairs.pair_defects(df, ["k"], "q", "a", "e", "s").filter("defect = 'refusal'").collect()}
+    assert got == {r[0] for r in rows if r[3]}
 
 
 def test_pair_defects(spark):
-    good = [(f"k{i}", f"What holds for part number {i} here?", f"Part {i} is held by the frame and the bolt.", None, "m") for i in range(60)]
+    good = [(f"k{i}", f"What holds for part number {i} here?", f"Part {i} is held by the frame and the bolt, so the answer is {'ABCD'[i % 4]}.", None, "m") for i in range(60)]
     bad = [
         ("empty", "What holds for it here?", " ", None, "m"),
         ("cut", "What holds for it here?", "The frame and the bolt hold what the", None, "m"),
@@ -195,7 +232,6 @@ def test_pair_defects(spark):
         ("language", "What holds for it here?", "Der Rahmen und die Schraube halten das Teil nicht fest.", None, "m"),
     ]
     bad += [(f"refusal{i}", f"What holds for part {i}?", "With regret, I am not able to give an answer here.", None, None) for i in range(5)]
-    # one word differs and no phrase tells, but the template recurs as a refusal
     long = "I am not able to give an answer to this one as it was put to me by you {} today"
     bad += [(f"refusal_long{i}", f"Which of the {i} is it?", long.format("here"), None, None) for i in range(4)]
     df = spark.createDataFrame(good + bad, "k string, q string, a string, e string, s string").withColumn("opening", F.lit("clash"))
@@ -212,13 +248,24 @@ def test_repeated_pairs_give_a_row_each(spark):
     assert [r.defect for r in pairs.pair_defects(df, ["k"], "q", "a", "e", "s").collect()] == ["empty"] * 3
 
 
-def test_clusters_of_openings(spark):
-    base = "this request has been passed on to the staff and will not be dealt with here"
-    rows = [(base, False, i) for i in range(3)] + [(base.replace("here", "now"), True, i) for i in range(9)] + [("the mass is four", False, 1)]
-    rows += [("no comment on it", True, 5)]
-    df = spark.createDataFrame(rows, "opening string, cue boolean, prompt_id long")
-    assert pairs.similarity(base, base.replace("here", "now")) >= pairs.SIMILAR
-    assert {r.opening for r in pairs.refusal_openings(df).collect()} == {base, base.replace("here", "now"), "no comment on it"}
+def test_cluster_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    frames = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10_000, 32)]
+        frames.append(" ".join(base))
+        for k in range(5):  # two of them may be similar without being so to the most frequent one
+            frames.append(" ".join([*base[:-1], f"x{k}"]) if k % 2 else " ".join([f"y{k}", *base[1:]]))
+    frames += ["no comment on it", "no comment"]
+    rows = [(f, int(n), 0, 2, True) for f, n in zip(frames, rng.integers(1, 50, len(frames)))]
+    counted = spark.createDataFrame(rows, "frame string, n long, choices long, prompts long, candidate boolean")
+    found = {(r.leader, r.frame) for r in pairs.template_clusters(counted).collect()}
+    similar = {(a, b) for a in frames for b in frames if a != b and pairs.similarity(a, b) >= pairs.SIMILAR}
+    assert {(a, b) for a, b in found if a != b} <= similar
+    assert {(f, f) for f in frames} <= found
+    # linked, or linked to one and the same
+    joined = {p for p in similar if p in found or any((p[0], x) in found and (x, p[1]) in found for x in frames)}
+    assert len(joined) >= 0.9 * len(similar)
 
 
 def test_minhash_meets_similar_openings():
