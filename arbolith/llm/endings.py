@@ -34,8 +34,8 @@ DANGLING = (
     "el los las una y o del con por para es"
 ).split()
 DANGLING_END = r"\s(?:" + "|".join(DANGLING) + r")$"
-#: The ending is looked for in so many last characters; marks and pairs are counted in the whole text.
-TAIL = 400
+#: The last word is looked for in so many last characters; one as long as that may be longer and is not judged.
+LAST_WORD = 60
 
 
 def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -77,7 +77,7 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     rtrim = F.expr("rtrim(concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12)), {})".format(f"`{text}`"))
     return (
-        df.withColumn(S, F.right(rtrim, F.lit(TAIL)))
+        df.withColumn(S, rtrim)
         .withColumn(D, last(3).rlike(r"(?:…|\.{3})$"))
         .withColumn(W, ~F.col(D) & last(12).rlike(TERMINAL) & ~last(24).rlike(HALF_NUMBER))
         .withColumn(B, F.when(F.col(D), F.regexp_replace(S, r"\s*(?:…|\.{3,})$", "")).when(~whole, s))
@@ -89,7 +89,7 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
             out,
             F.struct(
                 kind.cast("int").alias("kind"),
-                F.lower(F.regexp_extract(F.right(B, F.lit(60)), r"(\p{L}+)\P{L}*$", 1)).alias("last_word"),
+                F.lower(F.regexp_extract(F.right(B, F.lit(LAST_WORD)), r"(\p{L}+)\P{L}*$", 1)).alias("last_word"),
                 tail.alias("tail"),
             ),
         )

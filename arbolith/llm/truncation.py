@@ -7,20 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.llm.endings import BRIEF, DOUBTFUL, ELLIPSIS, MARKED, OPEN, WHOLE, with_ending
-from arbolith.storage import materialize
+from arbolith.llm.endings import BRIEF, DOUBTFUL, ELLIPSIS, LAST_WORD, MARKED, OPEN, WHOLE, with_ending
+from arbolith.storage import materialize, small_side
 from arbolith.tables import latest
 
 #: Lengths within so many of each other make up the local level a spike is held against.
 NEAR = 15
-#: A spike has so many values that end open, so many times the local level, and this share of its values ends open.
-SPIKE_VALUES, SPIKE_TIMES, SPIKE_OPEN = 5, 3.0, 0.4
-#: A last sentence that ends so many texts alike is its author's, dots or not,
-COMMON_TAIL = 20
-#: if these are such a share of its source's values in the field, or of all values of the field.
+#: A spike has so many times the local level, is so many standard deviations of a count above it, and this share of its values ends open.
+SPIKE_TIMES, SPIKE_SIGMA, SPIKE_OPEN = 3.0, 4.0, 0.4
+#: Units of length that limits are set in; a word is what blanks separate.
+UNITS = ("chars", "bytes", "words")
+#: Dots are their author's if their last sentence surely has such a share of its source's values in the field,
+#: or of all values of the field.
 SOURCE_SHARE, FIELD_SHARE = 0.005, 0.001
-#: A line with which so many values end off the spikes, and no fewer than on them, is whole.
-KNOWN_TAIL = 2
 #: Where whole values end in white space no more often than this, white space at the end is what a cut left.
 BLANK_SHARE = 0.005
 
@@ -28,7 +27,7 @@ BLANK_SHARE = 0.005
 def field_endings(
     df: DataFrame, keys: Sequence[str], fields: Mapping[str, str], order: Sequence[str | Column] = ()
 ) -> DataFrame:
-    """One row per key and field with text: keys, field_name, source, n_chars, n_bytes, kind, last_word, tail, blank_end.
+    """One row per key and field with text: keys, field_name, source, n_chars, n_bytes, n_words, kind, last_word, tail, blank_end.
 
     ``fields`` maps a text column to the column that names what wrote it. With
     ``order`` only the current version of each key counts. The features are
@@ -44,6 +43,7 @@ def field_endings(
             F.col(source).cast("string").alias("source"),
             F.length(text).alias("n_chars"),
             F.octet_length(text).alias("n_bytes"),
+            (F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))) + 1).alias("n_words"),
             F.col(f"__end{i}.kind").alias("kind"),
             F.when(F.col(f"__end{i}.kind").isin(ELLIPSIS, DOUBTFUL, BRIEF), F.col(f"__end{i}.last_word")).alias("last_word"),
             F.when(F.col(f"__end{i}.kind").isin(ELLIPSIS, DOUBTFUL), F.xxhash64(F.regexp_replace(f"__end{i}.tail", r"\d+", "0"))).alias("tail"),
@@ -58,20 +58,18 @@ def field_endings(
 
 
 def length_spikes(endings: DataFrame) -> DataFrame:
-    """field_name, source, unit ('chars' or 'bytes'), n: lengths at which a limit cuts.
-
-    A length is a spike if at least SPIKE_VALUES texts end open there, these
-    are at least SPIKE_OPEN of its texts, and it has SPIKE_TIMES the mean
-    number of texts of the lengths within NEAR. Histograms are aggregated
-    before the shuffle and have one row per length.
+    """field_name, source, unit (of UNITS), n: lengths at which a limit cuts.
+
+    A length is a spike if at least SPIKE_OPEN of its texts end open, and it
+    has at least SPIKE_TIMES the mean number of texts of the lengths within
+    NEAR and more than that by SPIKE_SIGMA standard deviations of a count. A
+    limit that all texts of a source keep is its maximum; one that holds for
+    some of them, as here, has longer texts above it, so a pile is looked for
+    instead. Histograms are aggregated before the shuffle and have one row per
+    length.
     """
     is_open = F.col("kind").isin(OPEN, MARKED).cast("int")
-    units = F.explode(
-        F.array(
-            F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("n")),
-            F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("n")),
-        )
-    )
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"n_{u}").alias("n")) for u in UNITS]))
     hist = (
         endings.select("field_name", "source", is_open.alias("o"), units.alias("u"))
         .groupBy("field_name", "source", "u.unit", "u.n")
@@ -82,30 +80,30 @@ def length_spikes(endings: DataFrame) -> DataFrame:
     return (
         hist.withColumn("level", level)
         .filter(
-            (F.col("open") >= SPIKE_VALUES)
-            & (F.col("open") >= SPIKE_OPEN * F.col("all"))
-            & (F.col("all") >= SPIKE_TIMES * (F.col("level") + 1))
+            (F.col("open") >= SPIKE_OPEN * F.col("all"))
+            & (F.col("all") >= SPIKE_TIMES * F.col("level"))
+            & (F.col("all") - F.col("level") >= SPIKE_SIGMA * F.sqrt(F.col("level") + 1))
         )
         .select("field_name", "source", "unit", "n")
     )
 
 
 def word_prefixes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """word: the words inside the texts and all their prefixes; whole: whether it is a word itself.
+    """word: the words inside the texts and their prefixes up to LAST_WORD letters; whole: whether it is a word itself.
 
     A text's last run of letters doesn't count, as it may be cut.
     """
-    texts = df.select(F.explode(F.array(*fields)).alias("text")).filter(F.length("text") > 20)
+    texts = df.select(F.explode(F.array(*fields)).alias("text")).filter("text <> ''")
     inner = F.slice(F.split("text", r"\P{L}+"), 1, F.greatest(F.size(F.split("text", r"\P{L}+")) - 2, F.lit(0)))
     words = (
         texts.select(F.explode(inner).alias("word"))
         .groupBy("word")
         .agg(F.lit(1).alias("__one"))
-        .filter(F.length("word").between(1, 40))
+        .filter("word <> ''")
         .select(F.lower("word").alias("word"))
         .distinct()
     )
-    lengths = F.sequence(F.lit(1), F.length("word"))
+    lengths = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LAST_WORD)))
     cuts = F.transform(lengths, lambda n: F.struct(F.substring("word", F.lit(1), n).alias("word"), (n == F.length("word")).alias("whole")))
     return words.select(F.explode(cuts).alias("x")).groupBy("x.word").agg(F.max("x.whole").alias("whole"))
 
@@ -113,9 +111,10 @@ def word_prefixes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def whole_tails(out: DataFrame) -> DataFrame:
     """tail, common, known: last sentences that are their authors', dots or not, and lines that are whole.
 
-    Both rules are shares, with a least number of values as evidence, so a
-    fragment that recurs as the table grows stays one. Values cut by other
-    signs are no evidence.
+    Dots are the author's if the lower bound of their sentence's share of its
+    source's or field's values is high enough; a line is whole if it is the
+    end of more values off the spikes than on them. Values cut by other signs
+    are no evidence.
     """
     c = F.col
     per = (
@@ -128,23 +127,26 @@ def whole_tails(out: DataFrame) -> DataFrame:
         )
     )
     size = out.groupBy("field_name", "source").agg(F.count("*").alias("n")).withColumnsRenamed({"field_name": "__f", "source": "__s"})
-    size = size.withColumn("all", F.sum("n").over(Window.partitionBy("__f")))
+    size = materialize(size.withColumn("all", F.sum("n").over(Window.partitionBy("__f"))), "sizes")
     same = (c("field_name") == c("__f")) & c("source").eqNullSafe(c("__s"))
+
+    def surely(share: float, of: str) -> Column:
+        return c("dotted") - 2 * F.sqrt("dotted") >= share * c(of)
+
     fields = (
-        per.join(size, same)
+        per.join(small_side(size), same)
         .groupBy("tail", "field_name")
         .agg(
-            F.max((c("dotted") >= COMMON_TAIL) & (c("dotted") >= SOURCE_SHARE * c("n"))).alias("of_source"),
+            F.max(surely(SOURCE_SHARE, "n")).alias("of_source"),
             F.sum("dotted").alias("dotted"),
             F.max("all").alias("all"),
             F.sum("off").alias("off"),
             F.sum("on").alias("on"),
         )
     )
-    common = c("of_source") | ((c("dotted") >= COMMON_TAIL) & (c("dotted") >= FIELD_SHARE * c("all")))
     return (
         fields.groupBy("tail")
-        .agg(F.max(common).alias("common"), ((F.sum("off") >= KNOWN_TAIL) & (F.sum("off") >= F.sum("on"))).alias("known"))
+        .agg(F.max(c("of_source") | surely(FIELD_SHARE, "all")).alias("common"), (F.sum("off") > F.sum("on")).alias("known"))
         .filter("common OR known")
     )
 
@@ -152,56 +154,61 @@ def whole_tails(out: DataFrame) -> DataFrame:
 def truncated_values(
     df: DataFrame, keys: Sequence[str], fields: Mapping[str, str], order: Sequence[str | Column] = ()
 ) -> DataFrame:
-    """keys, field_name, source, truncated for every non-blank value of every field.
-
-    A value is truncated if it ends in a truncation mark or an incomplete
-    character or escape, or is running text without an end, or ends in dots
-    that aren't a closing sentence of a fair share of its source's or field's values, or ends in white space where whole
-    values next to never do, or is a list, formula or label that ends in a
-    fragment of a word of the corpus or at a spike of its source's length histogram (characters
-    or bytes) in a line with which fewer values end off the spikes than on them. Null and blank
-    values give no row, an empty table none; repeated rows of a key without
-    ``order`` give a row each.
+    """keys, field_name, source, truncated, cause ('limit', 'transfer' or null) for every non-blank value of every field.
+
+    A value at a spike of its source's length histogram (characters, bytes or
+    words) is cut by a limit unless it ends as a text does, in a line that is
+    whole elsewhere, in dots of its author, or is a brief value of whole words.
+    A value of another length is cut in transfer if it ends in a truncation
+    mark or an incomplete character or escape, is running text without an end,
+    ends in dots that aren't a closing sentence of a fair share of its source's
+    or field's values, in white space where whole values next to never do, or
+    is a list, formula or label that ends in a fragment of a word of the
+    corpus. Null and blank values give no row, an empty table none; repeated
+    rows of a key without ``order`` give a row each.
     """
     ends = materialize(field_endings(df, keys, fields, order), "endings")
     spikes = length_spikes(ends)
-    doubt = ends.filter("last_word IS NOT NULL")
-    last = doubt.select(F.col("last_word").alias("word")).filter("length(word) > 1").distinct()
+    last = ends.select(F.col("last_word").alias("word")).filter(F.length("word").between(2, LAST_WORD - 1)).distinct()
     fragments = (
-        last.join(word_prefixes(df, list(fields)), "word")
+        last.join(word_prefixes(df, list(fields)).hint("merge"), "word")
         .filter(~F.col("whole"))
         .select(F.col("word").alias("last_word"), F.lit(True).alias("fragment"))
     )
     fragments = materialize(fragments, "fragments")  # read for the evidence and for the values
     by = ["field_name", "source"]
-    at = spikes.groupBy(*by).agg(
-        F.collect_set(F.when(F.col("unit") == "chars", F.col("n"))).alias("chars"),
-        F.collect_set(F.when(F.col("unit") == "bytes", F.col("n"))).alias("bytes"),
-    )
-    at = at.withColumnRenamed("source", "__s").withColumnRenamed("field_name", "__f")
+    at = spikes.groupBy(*by).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("n"))).alias(u) for u in UNITS])  # a row per field and source
+    at = small_side(materialize(at.withColumnRenamed("source", "__s").withColumnRenamed("field_name", "__f"), "spikes"))
     same = (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s"))
-    limited = F.coalesce(F.array_contains("chars", F.col("n_chars")) | F.array_contains("bytes", F.col("n_bytes")), F.lit(False))
-    out = ends.join(at, same, "left").withColumn("limited", limited).drop("chars", "bytes", "__s", "__f")
+    limited = F.lit(False)
+    for u in UNITS:
+        limited = limited | F.array_contains(u, F.col(f"n_{u}"))
+    out = ends.join(at, same, "left").withColumn("limited", F.coalesce(limited, F.lit(False))).drop(*UNITS, "__s", "__f")
     kind, whole = F.col("kind"), F.col("kind") == WHOLE
     tidy = ends.agg((F.count(F.when(whole & F.col("blank_end"), 1)) <= BLANK_SHARE * F.count(F.when(whole, 1))).alias("tidy"))
-    out = out.join(fragments, "last_word", "left").crossJoin(F.broadcast(tidy))  # one row
+    out = _left(out, fragments, "last_word").crossJoin(F.broadcast(tidy))  # one row
     out = out.withColumn("torn", F.coalesce("fragment", F.lit(False)))
     out = out.withColumn("blank_cut", kind.isin(WHOLE, DOUBTFUL) & F.col("blank_end") & F.col("tidy"))
-    out = out.join(whole_tails(out), "tail", "left")
+    out = _left(out, whole_tails(out), "tail")
     common, known = (F.coalesce(F.col(c), F.lit(False)) for c in ("common", "known"))
-    cut = (
-        kind.isin(MARKED, OPEN)
-        | ((kind == ELLIPSIS) & ~common)
-        | F.col("blank_cut")
-        | ((kind == DOUBTFUL) & (F.col("torn") | (F.col("limited") & ~known)))
-        | ((kind == BRIEF) & F.col("torn"))
-    )
-    return out.select(*keys, "field_name", "source", cut.alias("truncated"))
+    at_limit = F.col("limited") & (kind.isin(MARKED, OPEN) | ((kind == ELLIPSIS) & ~common) | ((kind == DOUBTFUL) & (F.col("torn") | ~known)) | ((kind == BRIEF) & F.col("torn")))
+    elsewhere = kind.isin(MARKED, OPEN) | ((kind == ELLIPSIS) & ~common) | F.col("blank_cut") | (kind.isin(DOUBTFUL, BRIEF) & F.col("torn"))
+    cause = F.when(at_limit, "limit").when(elsewhere, "transfer")
+    return out.select(*keys, "field_name", "source", cause.isNotNull().alias("truncated"), cause.alias("cause"))
+
+
+def _left(rows: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """A left join in which rows with a null key, which are most, don't meet in one partition."""
+    there = F.col(on).isNotNull()
+    added = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != on]
+    joined = rows.filter(there).join(right.hint("merge"), on, "left")
+    return joined.unionByName(rows.filter(~there).select("*", *added))
 
 
 def truncation_rates(values: DataFrame) -> DataFrame:
-    """field_name, source, n_values, n_truncated, share of :func:`truncated_values`, per source and field."""
+    """field_name, source, n_values, n_truncated, n_limit, n_transfer, share of :func:`truncated_values`, per source and field."""
     n = F.sum(F.col("truncated").cast("long"))
+    causes = [F.count(F.when(F.col("cause") == x, 1)).alias(f"n_{x}") for x in ("limit", "transfer")]
     return values.groupBy("field_name", "source").agg(
-        F.count("*").alias("n_values"), n.alias("n_truncated"), F.round(n / F.count("*"), 6).alias("share")
+        F.count("*").alias("n_values"), n.alias("n_truncated"), *causes, F.round(n / F.count("*"), 6).alias("share")
     )

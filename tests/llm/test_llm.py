@@ -93,7 +93,10 @@ def test_limits_dots_and_fragments(spark):
     df = spark.createDataFrame(rows, "k string, v int, m string, text string, kind string").repartition(4)
     got = truncation.truncated_values(df, ["k"], {"text": "m"}, ["v"])
     assert {r.k for r in got.filter("truncated").collect()} == cut
+    causes = {r.k: r.cause for r in got.filter("truncated").collect()}
+    assert {k for k, c in causes.items() if c == "limit"} == cut - {"list", "dots", "blank"}
     rates = truncation.truncation_rates(got).collect()
+    assert {r.source: r.n_limit for r in rates} == {"m1": len(cut) - 3, None: 0}
     assert {r.source: r.n_truncated for r in rates} == {"m1": len(cut) - 3, None: 3}
     assert truncation.truncated_values(df.limit(0), ["k"], {"text": "m"}, ["v"]).count() == 0
 
@@ -106,6 +109,21 @@ def test_recurring_fragments_stay_cut_in_a_large_table(spark):
     assert {r.k for r in got.collect()} == {str(i) for i in range(25)}
 
 
+def test_limits_in_words(spark):
+    n = F.col("id")
+    said = F.concat(F.repeat(F.lit("alpha beta. "), (n % 40).cast("int")), F.lit("gamma."))
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(42)), lambda i: F.repeat(F.lit("ab"), (1 + (i * (n + 3)) % 5).cast("int"))))
+    rows = spark.range(4000).select(n.cast("string").alias("k"), F.lit("m").alias("m"), F.when(n % 10 == 0, long).otherwise(said).alias("text"))
+    got = truncation.truncated_values(rows, ["k"], {"text": "m"})
+    assert {(r.truncated, r.cause, int(r.k) % 10 == 0) for r in got.collect()} == {(True, "limit", True), (False, None, False)}
+
+
+def test_very_long_words_and_lines(spark):
+    rows = [("a", "x" * 100_000), ("b", "- " + "alpha " * 2000 + "beta"), ("c", "alpha beta. " * 3 + "alp" * 60)]
+    df = spark.createDataFrame([(k, "m", t) for k, t in rows], "k string, m string, text string")
+    assert truncation.truncated_values(df, ["k"], {"text": "m"}).count() == 3
+
+
 def test_lines_on_a_limit_are_whole_only_if_most_end_so_elsewhere(spark):
     rows = [(f"open{i}", "alpha beta gamma delta epsilon zeta theta kappa lambda"[:40] + "eta iota alpha beta gam"[:20]) for i in range(30)]
     line = lambda head, n: head * ((n - len("\n- alpha")) // len(head) + 1)
