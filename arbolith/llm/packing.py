@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from arbolith.storage import materialize
 
 #: Items of a shard; a shard is packed in one task, so this bounds its memory.
 SHARD = 20_000
+#: Copies of one item are numbered in tasks of so many.
+COPIES = 100_000
 #: Cost of a document of x units: LINEAR * x + QUADRATIC * x * x.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -19,6 +23,8 @@ def cost(length: np.ndarray | float) -> np.ndarray | float:
     return LINEAR * length + QUADRATIC * length * length
 
 
+#: Items of a container that may be swapped, and passes over the containers.
+SWAPPED, PASSES = 6, 3
 #: Shares of the items, the longest first, that balancing tries to place before best fit takes over.
 BALANCED = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
 
@@ -30,7 +36,8 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     items go in descending length each to the container of lowest cost among
     those with room, which balances the costs; as even room leaves no fit for
     the last items, best fit places a share of the shortest. The largest share
-    in BALANCED that needs no further container is taken.
+    in BALANCED that needs no further container is taken. :func:`evened` then
+    balances what best fit has placed.
     """
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
@@ -45,8 +52,73 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
         tail = _best_fit(sizes[head:], capacity, room.tolist(), k)
         if not len(tail) or tail.max() < k:
             out[order] = np.concatenate([got, tail])
-            return out
+            return evened(lengths, out)
     out[order] = fit
+    return evened(lengths, out)
+
+
+def evened(lengths: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """``where`` with costs nearer to each other, every container as long as before.
+
+    Containers above the mean cost, the dearest first, swap an item or two for
+    one or two of the same total length but a lower cost, with the container
+    where that brings the costs closest. The SWAPPED longest items of a
+    container take part. PASSES over the containers, or until none swaps.
+    """
+    if not len(where):
+        return where
+    n, size = int(where.max()) + 1, lengths.tolist()
+    inside: list[list[int]] = [[] for _ in range(n)]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        inside[where[i]].append(i)
+    spent = [QUADRATIC * sum(size[i] ** 2 for i in x) for x in inside]
+    mean = sum(spent) / n
+    version = [0] * n
+    by_total: dict[int, list[tuple[int, int, int, tuple[int, ...]]]] = {}
+
+    def bundles(c: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        top = [i for i in inside[c][:SWAPPED] if size[i]]
+        for k, a in enumerate(top):
+            yield size[a], size[a] ** 2, (a,)
+            for b in top[k + 1 :]:
+                yield size[a] + size[b], size[a] ** 2 + size[b] ** 2, (a, b)
+
+    def offer(c: int) -> None:
+        for total, squares, items in bundles(c):
+            by_total.setdefault(total, []).append((squares, c, version[c], items))
+
+    def swap(dear: int) -> bool:
+        best = None
+        for total, squares, items in bundles(dear):
+            for other, c, v, theirs in by_total[total]:
+                if v == version[c] and c != dear and other < squares:
+                    less = QUADRATIC * (squares - other)
+                    gain = less * (spent[dear] - spent[c] - less)
+                    if gain > 1e-9 and (best is None or gain > best[0]):
+                        best = gain, less, items, c, theirs
+        if best is None:
+            return False
+        _, less, items, c, theirs = best
+        for at, out, new in ((dear, items, theirs), (c, theirs, items)):
+            inside[at] = sorted([i for i in inside[at] if i not in out] + list(new), key=lambda i: (-size[i], i))
+            version[at] += 1
+            offer(at)
+        spent[dear] -= less
+        spent[c] += less
+        return True
+
+    for c in range(n):
+        offer(c)
+    for _ in range(PASSES):
+        moved = 0
+        for dear in sorted(range(n), key=lambda c: -spent[c]):
+            while spent[dear] > mean and swap(dear):
+                moved += 1
+        if not moved:
+            break
+    out = where.copy()
+    for c, items in enumerate(inside):
+        out[items] = c
     return out
 
 
@@ -99,30 +171,35 @@ def containers(df: DataFrame, item: str, length: Column, capacity: int) -> DataF
     others have one part, never split. Full parts fill a container each and
     need no packing; rests and whole items are packed shard by shard, so one
     task packs at most about SHARD of them. A null length counts 0; an item of
-    length 0 is placed like any other. Equal items are placed by their id;
-    repeated ids are items of their own. No item is dropped.
+    length 0 is placed like any other. No item is dropped. Equal items of equal
+    length are numbered, so that a row's place depends on the rows alone and
+    not on files or partitions.
     """
     if capacity <= 0:
         raise ValueError("capacity must be positive")
-    items = df.select(F.col(item).alias("item"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"))
+    kind = dict(df.dtypes)[item]
+    same = df.select(F.col(item).alias("item"), F.coalesce(length.cast("long"), F.lit(0)).alias("n")).groupBy("item", "n").agg(F.count("*").alias("k"))
+    few = same.filter(F.col("k") <= COPIES).withColumn("chunk", F.lit(0).cast("long"))
+    many = same.filter(F.col("k") > COPIES).select("item", "n", "k", F.explode(F.sequence(F.lit(0), F.expr(f"(k - 1) div {COPIES}"))).alias("chunk"))
+    each = few.unionByName(many.repartition("item", "n", "chunk"))  # copies of one row come from several tasks
+    within = F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("k") - F.col("chunk") * COPIES))
+    items = each.select("item", "n", "chunk", F.explode(within).alias("c")).select("item", "n", (F.col("chunk") * COPIES + F.col("c")).alias("copy"))
     items = items.withColumn("full", F.expr(f"n div {capacity}")).withColumn("rest", F.col("n") % capacity)
     items = materialize(items, "items")
-    full = items.filter("full > 0").select(
-        "item",
-        F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"),
-    ).select(
+    name = F.concat_ws(".", F.lit("f"), F.coalesce(F.col("item").cast("string"), F.lit("")), "n", "copy", "part")
+    full = items.filter("full > 0").select("item", "n", "copy", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
+    full = full.select(
         "item",
-        F.concat(F.lit("f"), F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit("."), F.monotonically_increasing_id().cast("string")).alias("container"),
+        name.alias("container"),
         F.col("part").cast("int").alias("part"),
         (F.col("part") * capacity).alias("start"),
         F.lit(capacity).cast("long").alias("length"),
     )
     loose = items.filter("full = 0 OR rest > 0")
     shards = max(1, -(-loose.count() // SHARD))
-    kind = dict(loose.dtypes)["item"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rest", "item"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["rest", "item", "n", "copy"], ascending=[False, True, True, True], kind="stable")
         where = pack(pdf["rest"].to_numpy(dtype=np.int64), capacity)
         shard = str(int(pdf["shard"].iloc[0]))
         return pd.DataFrame(
@@ -135,9 +212,7 @@ def containers(df: DataFrame, item: str, length: Column, capacity: int) -> DataF
             }
         )
 
-    shard = F.pmod(F.xxhash64("item", "n"), F.lit(shards))
-    if shards > 1:  # equal items spread as well
-        shard = F.pmod(F.xxhash64(F.xxhash64("item"), F.monotonically_increasing_id()), F.lit(shards))
+    shard = F.pmod(F.xxhash64("item", "n", "copy"), F.lit(shards))
     packed = loose.withColumn("shard", shard).groupBy("shard").applyInPandas(
         run, f"item {kind}, container string, part int, start long, length long"
     )

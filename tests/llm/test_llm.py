@@ -310,6 +310,31 @@ def test_pack_fills_and_fits(sizes):
     assert used <= max(1, 11 / 9 * max(least, int((lengths > 25).sum())) + 1)
 
 
+def test_evened_keeps_lengths_and_lowers_the_spread():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(rng.exponential(250, 3000), 1000).astype(np.int64)
+    fit = packing._best_fit(np.sort(lengths)[::-1], 1000, [], 0)
+    lengths = np.sort(lengths)[::-1].copy()
+    got = packing.evened(lengths, fit)
+
+    def spread(w):
+        c = np.bincount(w, packing.cost(lengths.astype(float)))
+        return c.std()
+
+    assert (np.bincount(got, lengths) == np.bincount(fit, lengths)).all()
+    assert spread(got) < 0.95 * spread(fit)
+    assert len(packing.evened(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))) == 0
+
+
+def test_containers_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 100)
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(str(i % 300), (i * 37) % 90, "x") for i in range(700)] + [("hot", 5, "x")] * 300 + [(None, None, "x")] * 20 + [("long", 1234, "x")]
+    df = spark.createDataFrame(rows, "k string, len long, container string")
+    one, other = (sorted(map(str, packing.containers(d, "k", F.col("len"), 100).collect())) for d in (df.repartition(3), df.repartition(11, "len").sortWithinPartitions("k")))
+    assert one == other and len(one) == len(rows) + 12
+
+
 def test_containers(spark):
     rows = [(i, n, "x") for i, n in enumerate([0, None, 5, 100, 101, 250, 99, 1, 60, 40, 60, 40])] + [(3, 100, "x")]
     df = spark.createDataFrame(rows, "id long, n int, container string")
