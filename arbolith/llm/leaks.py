@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Consecutive words that make a leak.
 WORDS = 12
-#: Words of test items in one automaton; more items make further passes, an automaton each.
-BLOCK_WORDS = 2_000_000
+#: Words of test items in one automaton (about 760 bytes each in a Python worker); more items make further passes.
+BLOCK_WORDS = 250_000
 #: A span is removed if it is at least so many words long, or with the document's others covers this share of an item.
 SPAN_WORDS, COVERAGE = WORDS, 0.5
 
@@ -40,19 +42,25 @@ class Automaton:
     ``next`` maps a state and word id to a state; ``link`` and ``length`` are
     the suffix links and longest lengths. ``top[s]`` is the state on the
     suffix path of ``s`` that stands for its last ``words`` words (or -1), and
-    ``items[t]`` the items in which the words of ``t`` occur.
+    ``items[t]`` the items in which the words of ``t`` occur. Items of fewer
+    words are kept beside it, by length and words, if ``short``.
     """
 
-    def __init__(self, sequences: Iterable[tuple[str, list[str]]], words: int = WORDS):
+    def __init__(self, sequences: Iterable[tuple[str, list[str]]], words: int = WORDS, short: bool = False):
         self.words = words
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.sizes: dict[str, int] = {}
+        self.short: dict[int, dict[tuple[str, ...], set[str]]] = {}
         ends: list[tuple[int, str]] = []
         for item, sequence in sequences:
             last = 0
-            self.sizes[item] = len(sequence)
+            self.sizes[item] = max(len(sequence), self.sizes.get(item, 0))
+            if len(sequence) < words:
+                if short and sequence:
+                    self.short.setdefault(len(sequence), {}).setdefault(tuple(sequence), set()).add(item)
+                continue
             for w in sequence:
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
                 ends.append((last, item))
@@ -132,43 +140,69 @@ class Automaton:
                 size = size + 1 if before == at - 1 else self.words
                 runs[item] = (at, size)
                 out[item] = max(out.get(item, 0), size)
+        for n, known in self.short.items():
+            for run in set(zip(*(words[i:] for i in range(n)))) & known.keys():
+                for item in known[run]:
+                    out[item] = max(out.get(item, 0), n)
         return out
 
 
-def _blocks(items: DataFrame, item: str, text: str, words: int) -> Iterator[Automaton]:
-    """Automata of the items in blocks of about BLOCK_WORDS words, so their size is bounded."""
+def _blocks(items: DataFrame, item: str, text: str, words: int) -> Iterator[list[tuple[str, str]]]:
+    """(id, text) of the items in blocks of about BLOCK_WORDS words, items of fewer than ``words`` left out."""
     part, n = [], 0
     rows = items.select(F.col(item).cast("string"), text).filter(F.col(text).isNotNull()).distinct().orderBy(item, text)
     for name, t in rows.toLocalIterator():
-        sequence = words_of(t)
-        if len(sequence) < words:
+        size = len(words_of(t))
+        if size < words:
             continue
-        part.append((name, sequence))
-        n += len(sequence)
+        part.append((name, t))
+        n += size
         if n >= BLOCK_WORDS:
-            yield Automaton(part, words)
+            yield part
             part, n = [], 0
     if part:
-        yield Automaton(part, words)
+        yield part
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, words: int = WORDS) -> DataFrame:
+_built: tuple[str, Automaton] | None = None
+
+
+def _automaton(block: str, part: list[tuple[str, str]], words: int) -> Automaton:
+    """The automaton of a block; a Python worker builds it once and holds one at a time."""
+    global _built
+    if _built is None or _built[0] != block:
+        _built = None  # the former goes before the next is built
+        _built = block, Automaton(((name, words_of(t)) for name, t in part), words, True)
+    return _built[1]
+
+
+def _shared(items: DataFrame, item: str, text: str, words: int, least: int) -> Iterator[tuple[str, Broadcast]]:
+    """A name and the broadcast items of each block. The driver holds their texts, never an automaton."""
+    for part in _blocks(items, item, text, least):
+        yield f"{uuid.uuid4().hex}/{words}", items.sparkSession.sparkContext.broadcast(part)
+
+
+def leaks(
+    corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, words: int = WORDS, short: bool = False
+) -> DataFrame:
     """``key``, item_id, n_words, coverage: documents and the items of which they have ``words`` consecutive words.
 
     n_words is the longest shared run, coverage its share of the item's words.
-    Words are runs of Unicode letters and digits in lower case. Items of fewer
-    words and null texts share none; items with one id and several texts count
-    under that id; repeated documents give rows each; no corpus shuffle.
+    Words are runs of Unicode letters and digits in lower case. With ``short``
+    items of fewer words are found as well, where a document has them whole;
+    else they and null texts share none. Items with one id and several texts
+    count under that id; repeated documents give rows each; no corpus shuffle.
+    Items are broadcast in blocks of BLOCK_WORDS, of which each Python worker
+    builds one automaton at a time; every block is a pass over the corpus.
     """
     kind = dict(corpus.dtypes)[key]
     rows = corpus.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("length(text) > 0")
     schema = f"key {kind}, item_id string, n_words int, coverage double"
     out = None
-    for automaton in _blocks(items, item, item_text, words):
-        shared = corpus.sparkSession.sparkContext.broadcast(automaton)
+    for block, shared in _shared(items, item, item_text, words, 1 if short else words):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = shared.value
+        def run(batches: Iterator[pa.RecordBatch], block=block, shared=shared) -> Iterator[pa.RecordBatch]:
+            a = _automaton(block, shared.value, words)
             for batch in batches:
                 at, ids, longest = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -201,11 +235,10 @@ def cleaned(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str,
     rows = corpus.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {kind}, text string, n_spans int, n_chars long"
     rows = rows.filter("length(text) > 0").withColumn("n_spans", F.lit(0)).withColumn("n_chars", F.lit(0).cast("long"))
-    for automaton in _blocks(items, item, item_text, min(words, WORDS)):
-        shared = corpus.sparkSession.sparkContext.broadcast(automaton)
+    for block, shared in _shared(items, item, item_text, min(words, WORDS), min(words, WORDS)):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = shared.value
+        def run(batches: Iterator[pa.RecordBatch], block=block, shared=shared) -> Iterator[pa.RecordBatch]:
+            a = _automaton(block, shared.value, min(words, WORDS))
             for batch in batches:
                 got = [_without_spans(a, *r, words, coverage) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
                 texts, spans, chars = zip(*got) if got else ((), (), ())

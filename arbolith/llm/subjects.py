@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.storage import small_side
+from arbolith.storage import materialize
 
 #: At most so many labelled documents are fitted on, the first by a hash of their id.
 MAX_LABELLED = 20_000
+#: and at most so many characters of them all, which is what the driver holds.
+MAX_CHARS = 100_000_000
 #: A term belongs to a subject if, over at least DOCS documents, the lower bound of the share of its documents
 #: with that subject reaches SHARE, and the odds of that share are LIFT times those of the subject's own share.
 SHARE, LIFT, DOCS = 0.3, 4.0, 3
@@ -211,18 +213,25 @@ def fit(rows: Sequence[tuple[str | None, str | None, str | None, Sequence[str]]]
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], limit: int = MAX_LABELLED) -> list[tuple]:
-    """(text, source, lang, subjects) of at most ``limit`` labelled documents.
+def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], limit: int = MAX_LABELLED, chars: int = MAX_CHARS) -> list[tuple]:
+    """(text, source, lang, subjects) of at most ``limit`` labelled documents of at most ``chars`` characters in all.
 
     Labels are matched to ``subjects`` without case and outer white space;
-    others are ignored, repeated rows count once, and null means none.
+    others are ignored, repeated rows count once, and null means none. The
+    documents come in the order of a hash of their id until a bound is met.
     """
     known = {s.strip().lower(): s for s in subjects}
     name = F.lower(F.trim(F.col("subject")))
     per = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(name.isin(list(known)), name))).alias("names"))
-    per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    got = documents.select("doc_id", "text", "source", "lang").join(small_side(per), "doc_id")
-    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "source", "lang", "names").collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    per = per.orderBy(*order).limit(limit)  # at most ``limit`` rows of at most all subjects, so a broadcast is bounded
+    got = documents.select("doc_id", "text", "source", "lang").join(F.broadcast(per), "doc_id")
+    got = materialize(got.withColumn("at", F.xxhash64("doc_id")), "labelled")
+    sizes = [(r[0], r[1] or 0) for r in got.select("at", F.length("text")).orderBy("at", "doc_id").collect()]
+    total = np.cumsum([n for _, n in sizes])
+    if len(total) and total[-1] > chars:
+        got = got.filter(F.col("at") < sizes[int(np.searchsorted(total, chars, side="right"))][0])
+    rows = got.orderBy("at", "doc_id").select("text", "source", "lang", "names").collect()
     return [(r[0], r[1], r[2], [known[x] for x in r[3]]) for r in rows]
 
 

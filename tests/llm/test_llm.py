@@ -421,6 +421,15 @@ def test_leaks_and_clean_texts(spark):
     assert leaks.leaks(df.limit(0), "doc_id", "text", items, "id", "question").count() == 0
 
 
+def test_short_items_copied_whole(spark):
+    q = " ".join(f"w{i}" for i in range(14))
+    df = spark.createDataFrame([(1, f"So who was first? {q}"), (2, "who was second"), (3, "")], "d int, text string")
+    items = spark.createDataFrame([("a", q), ("b", "Who was first?"), ("c", "who"), ("d", " ")], "id string, q string")
+    assert {(r.d, r.item_id) for r in leaks.leaks(df, "d", "text", items, "id", "q").collect()} == {(1, "a")}
+    got = leaks.leaks(df, "d", "text", items, "id", "q", short=True).collect()
+    assert {(r.d, r.item_id, r.n_words, r.coverage) for r in got} == {(1, "a", 14, 1.0), (1, "b", 3, 1.0), (1, "c", 1, 1.0), (2, "c", 1, 1.0)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_WORDS", 15)
     texts = [" ".join(f"q{k}w{i}" for i in range(13)) for k in range(4)]
@@ -474,3 +483,5 @@ def test_label_spellings_and_bound(spark):
     got = {r[0]: r[3] for r in subjects.labelled_sample(docs, labels, ["sky", "food"])}
     assert got == {"t0": ["sky"], "t1": [], "t2": ["food", "sky"], "t3": []}
     assert len(subjects.labelled_sample(docs, labels, ["sky", "food"], limit=2)) <= 2
+    assert len(subjects.labelled_sample(docs, labels, ["sky", "food"], chars=5)) == 2
+    assert len(subjects.labelled_sample(docs, labels, ["sky", "food"], chars=1)) == 0
