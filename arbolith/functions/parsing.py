@@ -6,7 +6,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,12 +16,21 @@ from pyspark.sql import types as T
 from arbolith.functions import scalars as S
 
 METRICS = ["rouge_1", "rouge_2", "rouge_l", "bleu_4"]
-FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
-BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrtu])')
+FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
+THINKING = re.compile(r"<think>.*?</think>", re.S | re.I)
+#: A backslash with what JSON lets follow it, or alone.
+ESCAPE = re.compile(r'\\(?:["\\/bfnrtu]|())')
+#: Strings, which hide the braces in them, and braces.
+BRACES = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}]', re.S)
+#: How a payload's final answer states a letter.
+BARE = re.compile(r"[({]?\s*([A-Ja-j])\s*[)}.\\]?")
+STATED = re.compile(r"(?:answer|choice|option)\s*(?:is|:)\s*\(?([A-Ja-j])\)?", re.I)
+TRAILING = re.compile(r"\b([A-Ja-j])\s*[.)]*\s*$")
+BOXED = re.compile(S.BOXED)
 
 
 def _loads(text: str) -> dict | None:
-    for t in (text, BAD_ESCAPE.sub(r"\\\\", text)):
+    for t in (text, ESCAPE.sub(lambda m: m[0] if m[1] is None else r"\\", text)):
         try:
             found = json.loads(t)
         except (ValueError, RecursionError):
@@ -30,31 +39,34 @@ def _loads(text: str) -> dict | None:
     return None
 
 
+def _objects(text: str) -> Iterator[str]:
+    """What stands between outermost braces, in order."""
+    depth = start = 0
+    for m in BRACES.finditer(text):
+        if m[0] == "{":
+            start = start if depth else m.start()
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                yield text[start : m.end()]
+
+
 def find_object(text: str | None) -> dict | None:
-    """The last JSON object in ``text``: of fenced blocks, of the whole text, or of balanced braces; lost escapes are mended."""
+    """The JSON object in ``text``, the last that can be read of: the first fenced block, the whole text, what lies between its
+    first and last brace, and each balanced object; all of them with and without thinking blocks, lost escapes mended.
+    """
     if not text or "{" not in text:
         return None
-    for part in [*reversed(FENCED.findall(text)), text]:
-        found = _loads(part.strip())
+    both = (text, THINKING.sub("", text).strip())
+    parts = [m[1] for t in both if (m := FENCED.search(t))] + [*both]
+    parts += [t[t.find("{") : t.rfind("}") + 1] for t in both]
+    parts += [x for t in both for x in _objects(t)]
+    for part in reversed(dict.fromkeys(x.strip() for x in parts)):
+        found = _loads(part) if part else None
         if found is not None:
             return found
-    found, depth, start, quoted, escaped = None, 0, 0, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped = c == "\\" and not escaped
-            quoted = c != '"' or escaped
-            if c != "\\":
-                escaped = False
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            start = start if depth else i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                found = _loads(text[start : i + 1]) or found
-    return found
+    return None
 
 
 @F.pandas_udf(T.StringType())
@@ -63,20 +75,60 @@ def json_object(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if (o := find_object(t)) is None else json.dumps(o, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
 
 
-def payload_answer(c: str | Column) -> Column:
-    """The letter of a payload: boxed_letter or answer of its JSON, else a box, a bare letter, 'answer is', or the only letter named.
+def _one_boxed(text: str) -> tuple[str | None, bool]:
+    """(the boxed letter, whether several differ)."""
+    letters = {x.upper() for x in BOXED.findall(text.replace("\boxed", "\\boxed"))}
+    return (letters.pop(), False) if len(letters) == 1 else (None, bool(letters))
+
+
+def answer_of(text: str | None) -> str | None:
+    """The letter that a reply gives, with or without a JSON payload.
 
-    A text whose boxes differ has none.
+    The payload's boxed_letter if it is one letter; else its final_answer's box
+    (boxes that differ end the search) or bare letter; else the reply's own
+    box; else the letter that final_answer states, ends in, or names alone.
     """
-    text = S.col(c)
-    fields = F.from_json(json_object(text), "boxed_letter string, answer string, final_answer string")
-    named = F.regexp_extract(F.upper(S.first_truthy(fields["boxed_letter"], fields["answer"], fields["final_answer"])), r"^\W*([A-J])\W*$", 1)
-    conflict = F.size(F.array_distinct(S.boxed_letters(text))) > 1
-    bare = F.regexp_extract(F.upper(S.strip(text)), r"^\(?([A-J])\)?\.?$", 1)
-    phrase = F.try_element_at(F.regexp_extract_all(F.upper(text), F.lit(r"ANSWER(?:\s+IS)?\s*[:\s]\s*\(?([A-J])\b"), F.lit(1)), F.lit(-1))
-    every = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-J])\b"), F.lit(1)))
-    only = F.when(F.size(every) == 1, every[0])
-    return F.coalesce(S.truthy(named), F.when(~F.coalesce(conflict, F.lit(False)), F.coalesce(S.unique_boxed(text), S.truthy(bare), phrase, only)))
+    if text is None:
+        return None
+    payload = find_object(text) or {}
+    letter, final = payload.get("boxed_letter"), payload.get("final_answer")
+    if isinstance(letter, str) and len(letter.strip()) == 1 and letter.strip().isalpha():
+        return letter.strip().upper()
+    if isinstance(final, str):
+        boxed, differ = _one_boxed(final)
+        bare = BARE.fullmatch(final.strip().strip("'\"").strip())
+        if boxed or differ or bare:
+            return None if differ else boxed or bare[1].upper()
+    boxed, _ = _one_boxed(text)
+    if boxed or not isinstance(final, str):
+        return boxed
+    found = STATED.search(final) or TRAILING.search(final.strip())
+    named = {x for x in final.upper() if "A" <= x <= "J"}
+    return found[1].upper() if found else named.pop() if len(named) == 1 else None
+
+
+@F.pandas_udf(T.StringType())
+def payload_answer(texts: pd.Series) -> pd.Series:
+    """:func:`answer_of` of each text."""
+    return texts.map(answer_of)
+
+
+@F.pandas_udf(T.DoubleType())
+def payload_confidence(texts: pd.Series) -> pd.Series:
+    """The confidence of the text's JSON payload, clamped to 0..1; null without a payload or number."""
+
+    def one(text: str | None) -> float | None:
+        try:
+            return max(0.0, min(1.0, float((find_object(text) or {})["confidence"])))
+        except (KeyError, TypeError, ValueError):
+            return None
+
+    return texts.map(one)
+
+
+def confidence(c: str | Column) -> Column:
+    """The payload's confidence, else what the text states, see :func:`arbolith.functions.scalars.confidence`."""
+    return F.coalesce(payload_confidence(S.col(c)), S.confidence(c))
 
 
 def thinking_block(thinking: Column, text: Column) -> Column:
@@ -104,6 +156,9 @@ def span_weights(text: Column, weights: dict[str, tuple[float, float]]) -> Colum
     return F.filter(F.flatten(spans), lambda s: s["content"] != "")
 
 
+UNIT = re.compile(r"[\u3400-\u9fff]|[^\s\u3400-\u9fff]+")
+
+
 def _f1(hits: float, a: float, b: float) -> float:
     return 2 * hits / (a + b) if hits else 0.0
 
@@ -119,11 +174,14 @@ def lcs(a: Sequence[str], b: Sequence[str]) -> int:
 
 
 def overlap(prediction: str | None, label: str | None) -> tuple[float, float, float, float] | None:
-    """ROUGE-1, ROUGE-2, ROUGE-L (F) and BLEU-4 in per cent over words between white space; None if a side has none.
+    """ROUGE-1, ROUGE-2, ROUGE-L (F) and BLEU-4 in per cent over words; None if a side has none.
+
+    A word is what stands between white space; Chinese characters, which no
+    space separates, are words of their own (no dictionary is at hand).
 
     An order without matches counts as 1 / (2^k * n-grams), k growing by one with each such order.
     """
-    p, y = (prediction or "").split(), (label or "").split()
+    p, y = UNIT.findall(prediction or ""), UNIT.findall(label or "")
     if not p or not y:
         return None
     grams = [[Counter(zip(*(t[i:] for i in range(n)))) for t in (p, y)] for n in range(1, 5)]

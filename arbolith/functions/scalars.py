@@ -75,10 +75,14 @@ def normal_question(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(marks, r"\s+", " "))
 
 
+#: Fixed value: a letter in a box.
+BOXED = r"\\boxed\{\s*(?:\\text\{\s*)?([A-Za-z])\s*\}?\s*\}"
+
+
 def boxed_letters(c: str | Column) -> Column:
     r"""All letters in \boxed{..}, with an optional \text{..} inside and a lost backslash-b mended, in upper case."""
     mended = F.replace(col(c), F.lit("\boxed"), F.lit("\\boxed"))
-    found = F.regexp_extract_all(mended, F.lit(r"\\boxed\s*\{\s*(?:\\text\s*\{\s*)?\(?([A-Za-z])\)?\s*\}?\s*\}"), F.lit(1))
+    found = F.regexp_extract_all(mended, F.lit(BOXED), F.lit(1))
     return F.transform(found, F.upper)
 
 
@@ -95,7 +99,7 @@ def without_thinking(c: str | Column) -> Column:
 
 def confidence(c: str | Column) -> Column:
     """'confidence: x' (above 1 as per cent), else 'n%', clamped to 0..1; null if neither is there."""
-    stated = F.regexp_extract(F.lower(col(c)), r"confidence\"?\s*[:=]\s*\"?([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    stated = F.regexp_extract(F.lower(col(c)), r"confidence\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     percent = F.regexp_extract(col(c), r"([0-9]+(?:\.[0-9]+)?)\s*%", 1).try_cast("double")
     x = F.coalesce(F.when(stated > 1, stated / 100).otherwise(stated), percent / 100)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * F.when(x.isNotNull(), 1.0)
@@ -123,20 +127,37 @@ def answer_index(answer: str | Column, options: str | Column) -> Column:
 
 
 def answer_letter(answer: str | Column, n_options: Column) -> Column:
-    """The letter that an answer names (also as ['D'] or a 0-based number), null out of range."""
-    text = F.upper(F.trim(F.regexp_replace(F.trim(col(answer)), r"^\[\s*['\"]?|['\"]?\s*\]$", "")))
-    number = F.when(text.rlike(r"^\d{1,9}$"), text.try_cast("int"))
-    letter = F.when(text.rlike(r"^\(?[A-Z]\)?\.?$"), F.ascii(F.regexp_extract(text, "([A-Z])", 1)) - 65)
-    at = F.coalesce(number, letter)
-    return F.when(at.between(0, n_options - 1), F.char(at + 65))
+    """The letter that an answer names: a 0-based number, or the first letter A-Z in it; of a list its first item. Null out of range."""
+    text = F.trim(col(answer))
+    first = F.regexp_extract(text, r"""^\[\s*(?:'([^']*)'|"([^"]*)"|(\d+))\s*[,\]]""", 0)
+    item = F.when(text.startswith("[") & (first != ""), F.regexp_replace(first, r"""^\[\s*['"]?|['"]?\s*[,\]]$""", "")).otherwise(text)
+    item = F.upper(F.trim(item))
+    number = item.rlike(r"^\d+$")
+    at = F.when(number, item.try_cast("int")).otherwise(F.ascii(F.nullif(F.regexp_extract(item, "([A-Z])", 1), F.lit(""))) - 65)
+    room = F.when(number, F.least(n_options, F.lit(26))).otherwise(F.when(n_options > 0, F.least(n_options, F.lit(26))).otherwise(26))
+    return F.when(at.between(0, room - 1), F.char(at + 65))
 
 
 def predicted_letter(c: str | Column, n_options: Column) -> Column:
-    """The last boxed letter, else the last after 'answer:' (or 'answer is'), within the options; else null."""
-    boxed = F.try_element_at(boxed_letters(c), F.lit(-1))
-    named = F.regexp_extract_all(F.upper(col(c)), F.lit(r"ANSWER(?:\s+IS)?\s*[:\s]\s*\(?([A-J])\b"), F.lit(1))
-    letter = F.coalesce(boxed, F.try_element_at(named, F.lit(-1)))
-    return F.when((F.ascii(letter) - 65).between(0, n_options - 1), letter)
+    """The boxed letter, whatever the options; without one, or if boxes differ, the first after 'answer:', null beyond the options."""
+    named = F.nullif(F.upper(F.regexp_extract(col(c), r"(?i)(?:answer|final answer)\s*[:：]\s*\(?\s*([A-Z])\s*\)?", 1)), F.lit(""))
+    room = F.when(n_options > 0, F.least(n_options, F.lit(26))).otherwise(26)
+    return F.coalesce(unique_boxed(c), F.when((F.ascii(named) - 65) < room, named))
+
+
+#: How texts name a letter, in order; the first found counts.
+PREDICTIONS = (
+    r"\\boxed\{\s*([A-Ja-j])\s*\}",
+    r"[Ff]inal [Aa]nswer\s*[:：]?\s*([A-Ja-j])\b",
+    r"[Tt]he answer is\s*[:：]?\s*([A-Ja-j])\b",
+    r"[Aa]nswer\s*[:：]?\s*([A-Ja-j])\b",
+)
+
+
+def stated_letter(c: str | Column) -> Column:
+    """The boxed letter if there is one; else the first that a pattern of PREDICTIONS finds, in upper case."""
+    found = [F.nullif(F.upper(F.regexp_extract(col(c), p, 1)), F.lit("")) for p in PREDICTIONS]
+    return F.coalesce(unique_boxed(c), *found)
 
 
 def bare_option(c: Column) -> Column:
@@ -217,15 +238,20 @@ def cosine_reward(correct: Column, length: Column, limit: int, right: tuple[floa
     )
 
 
+#: How completions state their letter, in order.
+STATED = (
+    r"<answer>\s*([A-J])\s*</answer>",
+    r"\\boxed\{([A-J])\}",
+    r"(?:answer|Answer)\s*(?:is|:)\s*\*?\*?\s*\(?([A-J])\)?",
+    r"(?:correct|best)\s+(?:answer|option|choice)\s+is\s+\(?([A-J])\)?",
+)
+
+
 def flexible_answer(c: str | Column) -> Column:
-    """The letter of an <answer> block, else the last boxed, else after 'answer is', else the last lone letter of the last 200 characters."""
-    up = F.upper(col(c))
-    tagged = F.nullif(F.regexp_extract(up, r"(?s)<ANSWER>\s*\(?([A-J])\)?\s*</ANSWER>", 1), F.lit(""))
-    boxed = F.try_element_at(boxed_letters(c), F.lit(-1))
-    phrase = F.try_element_at(F.regexp_extract_all(up, F.lit(r"ANSWER(?:\s+IS)?\s*[:\s]\s*\(?([A-J])\b"), F.lit(1)), F.lit(-1))
-    lone = r"(?s)^(?:.*[^\p{L}\p{N}_])?([A-J])(?:[^\p{L}\p{N}_].*)?$"
-    last = F.nullif(F.regexp_extract(F.right(up, F.lit(200)), lone, 1), F.lit(""))
-    return F.coalesce(tagged, boxed, phrase, last)
+    """The first letter that a pattern of STATED finds, else the last lone letter of the last 200 characters before a point, comma, space or the end."""
+    found = [F.nullif(F.regexp_extract(col(c), p, 1), F.lit("")) for p in STATED]
+    lone = r"(?s)^(?:.*[^\p{L}\p{N}_])?([A-J])(?:[.,\s].*)?$"
+    return F.coalesce(*found, F.nullif(F.regexp_extract(F.right(col(c), F.lit(200)), lone, 1), F.lit("")))
 
 
 def stated_reward(c: str | Column) -> Column:

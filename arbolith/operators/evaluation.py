@@ -150,3 +150,41 @@ def kl_estimates(df: DataFrame, policy: str, reference: str) -> DataFrame:
     """k1, k3: means over tokens of the log-probability arrays' KL estimators, differences clamped to +-20."""
     d = F.explode(F.zip_with(policy, reference, lambda p, r: F.greatest(F.lit(-20.0), F.least(F.lit(20.0), r.cast("double") - p.cast("double")))))
     return df.select(d.alias("d")).agg(F.avg(-F.col("d")).alias("k1"), F.avg(F.exp("d") - F.col("d") - 1).alias("k3"))
+
+
+def pair_losses(df: DataFrame, similarity: str, label: str, margin: float = 0.5) -> DataFrame:
+    """cosine_mse, contrastive and online of pairs with a cosine and a label 0 or 1.
+
+    online sums over the hard pairs only: negatives nearer than the farthest
+    positive, and positives farther than the nearest negative (than the mean of
+    their own kind where there is but one of the other). One row; two passes.
+    """
+    d, y = 1 - F.col(similarity), F.col(label)
+    kinds = {k: F.when(y == k, d) for k in (0, 1)}
+    ends = df.agg(
+        *[f(kinds[k]).alias(f"__{n}{k}") for k in (0, 1) for n, f in (("max", F.max), ("min", F.min), ("avg", F.avg), ("n", F.count))]
+    )
+    near = F.when(F.col("__n1") > 1, F.col("__max1")).otherwise(F.col("__avg0"))
+    far = F.when(F.col("__n0") > 1, F.col("__min0")).otherwise(F.col("__avg1"))
+    gap = F.pow(F.greatest(F.lit(0.0), margin - d), 2)
+    hard = F.when((y == 1) & (d > far), d * d).when((y == 0) & (d < near), gap).otherwise(0.0)
+    return df.crossJoin(F.broadcast(ends)).agg(  # one row
+        F.avg(F.pow(F.col(similarity) - y, 2)).alias("cosine_mse"),
+        F.avg(F.when(y == 1, 0.5 * d * d).otherwise(0.5 * gap)).alias("contrastive"),
+        F.sum(hard).alias("online"),
+    )
+
+
+def ranking_losses(df: DataFrame, group: Sequence[str], order: str, score: str, label: str, least: int = 2) -> DataFrame:
+    """pointwise (logistic) and listwise (softmax over lists of at least ``least`` rows) losses, one row.
+
+    In the order of a group every positive starts a list; rows before the first belong to none.
+    """
+    s, y = F.col(score), F.col(label)
+    each = F.greatest(s, F.lit(0.0)) - s * y + F.log1p(F.exp(-F.abs(s)))
+    at = F.sum(F.when(y == 1, 1).otherwise(0)).over(Window.partitionBy(*group).orderBy(order))
+    lists = df.withColumn("__list", at).filter("__list > 0").groupBy(*group, "__list")
+    top = lists.agg(F.max(s).alias("__top"), F.max(F.when(y == 1, s)).alias("__own"), F.count("*").alias("__n"), F.collect_list(s).alias("__s"))
+    total = F.aggregate("__s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
+    per = top.filter(F.col("__n") >= least).agg(F.avg(F.ln(total) + F.col("__top") - F.col("__own")).alias("listwise"))
+    return df.agg(F.avg(each).alias("pointwise")).crossJoin(per)  # one row each

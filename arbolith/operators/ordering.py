@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.storage import materialize
+from arbolith.storage import materialize, small_side
 
 
 def running_total(df: DataFrame, order: Sequence[str | Column], amount: str, out: str) -> DataFrame:
@@ -34,3 +34,17 @@ def shuffled(df: DataFrame, seed: int, *keys: str, out: str = "position") -> Dat
     """:func:`positions` in the order of md5('seed:key:..'), so that any engine can replay it."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return positions(df.withColumn("__key", key), ["__key", *keys], out).drop("__key")
+
+
+def ranks_within(df: DataFrame, group: str, order: Sequence[str], out: str = "rank", size: str = "size") -> DataFrame:
+    """``out``: the 1-based rank of each row in its ``group`` in the order of ``order``, ``size``: the group's rows.
+
+    The table is ordered by group and order at once, so a group that holds most
+    rows is spread over many range partitions; a group's first position is
+    taken off, by one row per group. Null groups are one group.
+    """
+    at = materialize(positions(df, [group, *order], "__at"), "ranks")
+    ends = at.groupBy(F.col(group).alias("__g")).agg(F.min("__at").alias("__from"), F.count("*").alias(size))
+    ends = small_side(materialize(ends, "groups"))
+    got = at.join(ends, F.col(group).eqNullSafe(F.col("__g")))
+    return got.withColumn(out, F.col("__at") - F.col("__from") + 1).drop("__at", "__from", "__g")

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.operators.ordering import positions, shuffled
+from arbolith.operators.ordering import positions, ranks_within, shuffled
+from arbolith.storage import materialize, small_side
 
 
 def sample_exactly(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
@@ -82,11 +83,10 @@ def stratified_quota(df: DataFrame, stratum: str, quotas: Mapping[str, tuple[int
     A stratum with too few rows has both quotas scaled down in proportion, with
     at least one row in train.
     """
-    w = Window.partitionBy(stratum)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     pairs = [x for s, (a, b) in quotas.items() for x in (F.lit(s), F.struct(F.lit(a).alias("train"), F.lit(b).alias("test")))]
     rows = df.withColumn("__q", F.create_map(*pairs)[F.col(stratum)]).filter("__q IS NOT NULL")
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(key, *keys)))
+    rows = ranks_within(rows.withColumn("__key", key), stratum, ["__key", *keys], "__r", "__n").drop("__key")
     want = F.col("__q.train") + F.col("__q.test")
     scale = F.least(F.lit(1.0), F.col("__n") / want)
     test = F.least(F.floor(F.col("__q.test") * scale), F.col("__n") - 1)
@@ -109,9 +109,9 @@ def proportional(df: DataFrame, stratum: str, n: int, seed: int, *keys: str) ->
     order = every.orderBy((F.col("__exact") - F.col("__base")).desc(), F.col(stratum))
     quota = quota.withColumn("__take", F.least(F.col("__n"), F.col("__base") + (F.row_number().over(order) <= left).cast("long")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(key, *keys)))
+    ranked = ranks_within(df.withColumn("__key", key), stratum, ["__key", *keys], "__r", "__size").drop("__key", "__size")
     same = F.col(stratum).eqNullSafe(F.col("__s"))
-    quota = quota.select(F.col(stratum).alias("__s"), "__take")
+    quota = small_side(materialize(quota.select(F.col(stratum).alias("__s"), "__take"), "quota"))
     return ranked.join(quota, same).filter("__r <= __take").drop("__r", "__s", "__take")
 
 
@@ -170,12 +170,17 @@ def replicate(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def pack_sequences(df: DataFrame, item: str, length: str, capacity: int, batch: int, shards: int, order: Sequence[str]) -> DataFrame:
+#: Rows of a shard that one task packs.
+SHARD_ROWS = 100_000
+
+
+def pack_sequences(df: DataFrame, item: str, length: str, capacity: int, batch: int, order: Sequence[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """item, shard, bin: first-fit decreasing over batches of ``batch`` rows, the last bin of a batch going on in the next.
 
-    Shards are runs of the order, so a shard is read in order and its result
-    is the same on any cluster. Items above ``capacity`` have a bin of their own.
+    Shards are runs of the order of at most ``shard_rows`` rows, so a task is
+    bounded at any size and the result is the same on any cluster. Items above ``capacity`` have a bin of their own.
     """
+    shards = max(1, -(-df.count() // shard_rows))
     rows = contiguous_shards(df.select(item, F.col(length).cast("long").alias("__n"), *[c for c in order if c != item]), order, shards)
     kind = dict(df.dtypes)[item]
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from arbolith.functions.scalars import truthy
 from arbolith.operators.hierarchy import hierarchy
+from arbolith.storage import materialize
+
+#: Parts of a large group.
+SALTS = 32
 
 
 def node_class(max_depth: int) -> Column:
@@ -119,36 +123,89 @@ def spread_width(df: DataFrame, group: Sequence[str], value: str, least: int, ca
     return per.withColumn("k", F.when(F.col("n") < 4, F.col("n")).otherwise(F.least(F.col("n"), k)).cast("int")).drop("__var")
 
 
-def spread_children(df: DataFrame, group: Sequence[str], node: str, value: str, least: int, cap: int, room: int = 1000) -> DataFrame:
-    """The children kept of every parent: best, worst, then each time the one farthest from those kept.
+def spread_children(
+    df: DataFrame, group: Sequence[str], node: str, value: str, least: int, cap: int, correct: str | None = None, terminals: str | None = None, room: int = 100_000
+) -> DataFrame:
+    """The children kept of every parent: the best, the worst, then each time the one farthest from those kept.
 
-    Only ``room`` best and as many worst of a parent are looked at when it has
-    more than twice as many children with different values: children of equal
-    value are alike for the choice, so the first ``cap`` of each value stand
-    for all, which bounds a group by its distinct values.
+    Children rank by ``value`` (null and NaN as 0), then ``correct``, then
+    ``terminals``, all descending and 0 where there is no such column, then the
+    smaller node. Of equally far ones the larger mean distance wins, then the
+    larger value, terminals and node. Parents with more than ``room`` children
+    are done in rounds of aggregates over all parents at once, one child each.
     """
-    w = Window.partitionBy(*group, value).orderBy(node)
-    some = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= cap).drop("__r")
-    some = some.join(spread_width(df, group, value, least, cap).select(*group, "k"), list(group))
-    schema = some.select(*group, node).schema
+    zero = F.lit(0.0)
+
+    def number(c: str | None) -> Column:
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), zero), zero) if c else zero
+
+    width = spread_width(df, group, value, least, cap).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("n").alias("__n"), F.col("k").alias("__k"))
+    same = F.lit(True)
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    rows = df.select(*group, node, number(value).alias("__v"), number(correct).alias("__c"), number(terminals).alias("__t"))
+    rows = rows.join(width.hint("merge"), same).drop(*[f"__g{i}" for i in range(len(group))])
+    whole = rows.filter(F.col("__k") >= F.col("__n")).select(*group, node)
+    rows = rows.filter(F.col("__k") < F.col("__n"))
+    schema = rows.select(*group, node).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        pdf = pdf.assign(__v=pdf[value].fillna(0.0)).sort_values(["__v", node], ascending=[False, True], kind="stable")
-        v = pdf["__v"].to_numpy(dtype=float)
-        if k >= len(v):
-            return pdf[[*group, node]]
-        kept = [0] if k == 1 else [0, len(v) - 1]
-        near = np.minimum.reduce([np.abs(v - v[i]) for i in kept])
-        near[kept] = -1
+        k = int(pdf["__k"].iloc[0])
+        pdf = pdf.sort_values(["__v", "__c", "__t", node], ascending=[False, False, False, True], kind="stable")
+        v, t = pdf["__v"].to_numpy(), pdf["__t"].to_numpy()
+        kept = [0, len(v) - 1][:k]
+        gaps = [np.abs(v - v[i]) for i in kept]
+        last = pdf[node].rank(method="first").to_numpy()  # the order of the nodes
         while len(kept) < k:
-            i = int(np.argmax(near))
-            kept.append(i)
-            near = np.where(near < 0, near, np.minimum(near, np.abs(v - v[i])))
-            near[i] = -1
+            near, mean = np.minimum.reduce(gaps), np.round(np.mean(gaps, axis=0), 12)
+            near = np.round(near, 12)
+            near[kept] = -1
+            kept.append(int(np.lexsort((last, t, v, mean, near))[-1]))
+            gaps.append(np.abs(v - v[kept[-1]]))
         return pdf.iloc[sorted(kept)][[*group, node]]
 
-    return some.select(*group, node, value, "k").groupBy(*group).applyInPandas(run, schema)
+    few = rows.filter(F.col("__n") <= room).groupBy(*group).applyInPandas(run, schema)
+    out = whole.unionByName(few)
+    many = rows.filter(F.col("__n") > room)
+    if many.limit(1).count():
+        out = out.unionByName(_spread_in_rounds(materialize(many, "spread"), group, node, cap))
+    return out
+
+
+def _spread_in_rounds(rows: DataFrame, group: Sequence[str], node: str, cap: int) -> DataFrame:
+    """:func:`spread_children` of large groups: a maximum per group and round, aggregated before the shuffle.
+
+    What is kept so far is an array of at most ``cap`` values per group; it is
+    repeated for SALTS parts of each group, so no group is joined in one task.
+    """
+    part = F.pmod(F.xxhash64(node), F.lit(SALTS))
+    rows = rows.withColumn("__g", F.struct(*group)).withColumn("__p", part)
+    rank = [F.col("__v"), F.col("__c"), F.col("__t")]
+    tops = rows.groupBy("__g").agg(F.max(F.struct(*rank)).alias("top"), F.min(F.struct(*rank)).alias("low"), F.first("__k").alias("__k"))
+    ends = rows.join(tops.select(F.col("__g").alias("__h"), "top", "low").crossJoin(rows.sparkSession.range(SALTS).withColumnRenamed("id", "__q")).hint("merge"), (F.col("__g") == F.col("__h")) & (F.col("__p") == F.col("__q")))
+    at = F.struct(*rank)
+    picked = ends.groupBy("__g").agg(F.min(F.when(at == F.col("top"), F.col(node))).alias("best"), F.max(F.when(at == F.col("low"), F.col(node))).alias("worst"))
+    state = tops.join(picked.hint("merge"), "__g").select(
+        "__g", "__k", F.slice(F.array("best", "worst"), 1, F.least(F.col("__k"), F.lit(2))).alias("kept"), F.slice(F.array("top.__v", "low.__v"), 1, F.least(F.col("__k"), F.lit(2))).alias("values")
+    )
+    state = materialize(state, "spread")
+    for _ in range(2, cap):
+        salted = state.select(F.col("__g").alias("__h"), "__k", "kept", "values", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__q"))
+        on = rows.drop("__k").join(salted.hint("merge"), (F.col("__g") == F.col("__h")) & (F.col("__p") == F.col("__q")))
+        on = on.filter((F.size("kept") < F.col("__k")) & ~F.array_contains("kept", F.col(node)))
+        gaps = F.transform("values", lambda x: F.abs(x - F.col("__v")))
+        score = F.struct(F.round(F.array_min(gaps), 12).alias("near"), F.round(F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.size(gaps), 12).alias("mean"), "__v", "__t", node)
+        next_ = on.groupBy("__g").agg(F.max(score).alias("s"))
+        grown = F.col("s").isNotNull()
+        state = materialize(
+            state.join(next_.hint("merge"), "__g", "left").select(
+                "__g", "__k",
+                F.when(grown, F.concat("kept", F.array(F.col(f"s.{node}")))).otherwise(F.col("kept")).alias("kept"),
+                F.when(grown, F.concat("values", F.array("s.__v"))).otherwise(F.col("values")).alias("values"),
+            ),
+            "spread",
+        )
+    return state.select(*[F.col(f"__g.{c}").alias(c) for c in group], F.explode("kept").alias(node))
 
 
 def rebuilt(paths: DataFrame, scope: Sequence[str], node_ids: str) -> DataFrame:

@@ -8,7 +8,7 @@ from arbolith.plans.registry import Plans, Query
 
 #: Modules with a ``plans`` registry.
 MODULES = (
-    "advantages", "hierarchies", "preferences", "texts", "evaluations", "samples", "trees", "chats", "sources", "streams", "extras"
+    "advantages", "hierarchies", "preferences", "texts", "evaluations", "samples", "trees", "chats", "sources", "streams", "extras", "selections"
 )
 
 

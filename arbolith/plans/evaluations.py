@@ -155,9 +155,10 @@ def j1_join_by_question(spark, base):
     return V.join_by_question(n.unionByName(own), "focus_question", t, "question").select("task_id", "node_id", "id")
 
 
-@plans.add(f"SELECT {NORM.format('question')} AS key, count(DISTINCT id) AS n FROM tasks GROUP BY 1 HAVING count(DISTINCT id) > 1")
+@plans.add(NODES + f"SELECT {NORM.format('focus_question')} AS key, count(DISTINCT node_id) AS n FROM n GROUP BY 1 HAVING count(DISTINCT node_id) > 1")
 def j2_key_conflicts(spark, base):
-    return V.key_conflicts(table(spark, base, "tasks"), S.normal_question("question"), "id")
+    """Focus questions, normalised, that stand for several nodes."""
+    return V.key_conflicts(nodes(spark, base, "focus_question"), S.normal_question("focus_question"), "node_id")
 
 
 @plans.add("SELECT task_id, node_id, arg_max(status, (written_at, loaded_at)) AS status FROM search_nodes GROUP BY 1, 2")

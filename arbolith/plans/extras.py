@@ -27,10 +27,20 @@ def f4_payload_answer(spark, base):
     return finals(spark, base).select(*NK, P.payload_answer("final_answer_text").alias("letter"))
 
 
-@plans.add("""SELECT event_id, '{"k":' || (props->>'$.k') || '}' AS found FROM events""")
+K = "(props->>'$.k')"
+
+
+@plans.add(f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{{"k":' || {K} || '}}' WHEN 1 THEN '{{"last":1}}' WHEN 2 THEN '{{"o":{{"k":' || {K} || '}}}}' WHEN 3 THEN '{{"x":"\\\\alpha"}}' END AS found FROM events""")
 def f6_json_object(spark, base):
-    e = table(spark, base, "events")
-    text = F.concat(F.lit("so {not json} ```json\n"), "props", F.lit("\n``` done"))
+    """Fenced among broken braces, followed by a bare object, nested, with lost escapes, and none."""
+    e, kind = table(spark, base, "events"), F.col("event_id") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("so {not json} ```json\n"), "props", F.lit("\n``` done")))
+        .when(kind == 1, F.concat(F.lit("```json\n"), "props", F.lit('\n``` then {"last": 1} end')))
+        .when(kind == 2, F.concat(F.lit('I say "{" and {"o": '), "props", F.lit("} }")))
+        .when(kind == 3, F.lit('{"x": "\\alpha"}'))
+        .otherwise(F.lit("[1, {]"))
+    )
     return e.select("event_id", P.json_object(text).alias("found"))
 
 
@@ -125,10 +135,13 @@ def w21_memory(spark, base):
     return per.select("task_id", F.transform(F.when(F.col("some"), F.col("good")).otherwise(F.col("other")), lambda x: x["node_id"]).alias("attempts"), "best", "models")
 
 
-@plans.add("SELECT id, 1.0 AS right_call, 0.0 AS other FROM tasks")
+@plans.add("SELECT id, CASE WHEN split = 'test' AND subject IS NOT NULL THEN 1.0 ELSE 0.0 END AS reward FROM tasks")
 def r8_tool_reward(spark, base):
-    t = table(spark, base, "tasks").withColumn("args", F.to_json(F.struct("source", "split")))
-    return t.select("id", P.tool_reward(F.lit("f"), "args", F.lit("f"), "args").alias("right_call"), P.tool_reward(F.lit("f"), "args", F.lit("g"), "args").alias("other"))
+    """Calls with the keys in another order; they are right for test items, and named right where there is a subject."""
+    t = table(spark, base, "tasks").withColumn("want", F.to_json(F.struct("source", "split")))
+    given = F.to_json(F.struct(F.lit("test").alias("split"), F.col("source")))
+    name = F.when(F.col("subject").isNull(), "g").otherwise(" f ")
+    return t.select("id", P.tool_reward(name, given, F.lit("f"), "want").alias("reward"))
 
 
 @plans.add()

@@ -126,14 +126,14 @@ def m15_length_grouped_all(spark, base):
 @plans.add()
 def m16_packed(spark, base):
     """Documents in bins of 8192 characters; sequential, so tests hold its invariants against brute force."""
-    return M.pack_sequences(_lengths(spark, base), "doc_id", "n", 8192, 1000, 8, ["doc_id"])
+    return M.pack_sequences(_lengths(spark, base), "doc_id", "n", 8192, 1000, ["doc_id"])
 
 
 @plans.add("SELECT count(*) AS docs, count(DISTINCT doc_id) AS ids, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total, 0 AS overfull FROM documents")
 def m16_packing_invariants(spark, base):
     """Every document in one bin, and no bin of several items above its capacity."""
     lengths = _lengths(spark, base)
-    packed = M.pack_sequences(lengths, "doc_id", "n", 8192, 1000, 8, ["doc_id"])
+    packed = M.pack_sequences(lengths, "doc_id", "n", 8192, 1000, ["doc_id"])
     ids = packed.agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("ids"))
     bins = M.bin_totals(packed, lengths, "doc_id", "n").agg(
         F.sum("total").alias("total"), F.count(F.when((F.col("total") > 8192) & (F.col("items") > 1), 1)).cast("int").alias("overfull")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbolith.functions import parsing as P
 from arbolith.functions import scalars as S
 from arbolith.plans.registry import Plans
 from arbolith.tables import table
@@ -27,7 +28,7 @@ def f1_normal_question(spark, base):
     return tasks(spark, base).select("id", S.normal_question("question").alias("question"))
 
 
-BOX = r"list_transform(regexp_extract_all(final_answer_text, '\\boxed\s*\{\s*(?:\\text\s*\{\s*)?\(?([A-Za-z])\)?\s*\}?\s*\}', 1), lambda x: upper(x))"
+BOX = r"list_transform(regexp_extract_all(final_answer_text, '\\boxed\{\s*(?:\\text\{\s*)?([A-Za-z])\s*\}?\s*\}', 1), lambda x: upper(x))"
 
 
 @plans.add(FINAL.format(BOX + " AS letters"))
@@ -40,20 +41,21 @@ def f3_unique_boxed(spark, base):
     return finals(spark, base).select(*KEY, S.unique_boxed("final_answer_text").alias("letter"))
 
 
-@plans.add(r"""WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Confidence: ' || CAST(floor(value) / 100 AS VARCHAR) WHEN 1 THEN 'confidence = ' || CAST(floor(value) AS VARCHAR)
-        ELSE 'I am ' || floor(value) || '% sure' END AS t FROM events),
-    x AS (SELECT event_id, TRY_CAST(nullif(regexp_extract(lower(t), 'confidence"?\s*[:=]\s*"?([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS s,
+@plans.add(r"""WITH c AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Confidence: ' || CAST(floor(value) / 100 AS VARCHAR) WHEN 1 THEN 'confidence = ' || CAST(floor(value) AS VARCHAR)
+        WHEN 2 THEN 'I am ' || floor(value) || '% sure' ELSE '50% {"confidence": "' || CAST(floor(value) / 40 AS VARCHAR) || '"}' END AS t, value FROM events),
+    x AS (SELECT event_id, CASE WHEN event_id % 4 = 3 THEN floor(value) / 40 END AS j, TRY_CAST(nullif(regexp_extract(lower(t), 'confidence\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS s,
         TRY_CAST(nullif(regexp_extract(t, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), '') AS DOUBLE) AS p FROM c)
-    SELECT event_id, round(greatest(0, least(1, coalesce(CASE WHEN s > 1 THEN s / 100 ELSE s END, p / 100))), 6) AS confidence FROM x""")
+    SELECT event_id, round(greatest(0, least(1, coalesce(j, CASE WHEN s > 1 THEN s / 100 ELSE s END, p / 100))), 6) AS confidence FROM x""")
 def f5_confidence(spark, base):
     e = table(spark, base, "events")
-    third = F.col("event_id") % 3
+    kind, low = F.col("event_id") % 4, F.floor("value")
     text = (
-        F.when(third == 0, F.concat(F.lit("Confidence: "), (F.floor("value") / 100).cast("string")))
-        .when(third == 1, F.concat(F.lit("confidence = "), F.floor("value").cast("double").cast("string")))
-        .otherwise(F.concat(F.lit("I am "), F.floor("value").cast("string"), F.lit("% sure")))
+        F.when(kind == 0, F.concat(F.lit("Confidence: "), (low / 100).cast("string")))
+        .when(kind == 1, F.concat(F.lit("confidence = "), low.cast("double").cast("string")))
+        .when(kind == 2, F.concat(F.lit("I am "), low.cast("string"), F.lit("% sure")))
+        .otherwise(F.concat(F.lit('50% {"confidence": "'), (low / 40).cast("string"), F.lit('"}')))
     )
-    return e.select("event_id", F.round(S.confidence(text), 6).alias("confidence"))
+    return e.select("event_id", F.round(P.confidence(text), 6).alias("confidence"))
 
 
 @plans.add(FINAL.format(r"regexp_replace(regexp_replace('<think>' || coalesce(boxed_letter, '') || '</think> ' || coalesce(final_answer_text, ''), '(?is)<think>.*?</think>', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text"))
@@ -72,21 +74,33 @@ def f8_answer_index(spark, base):
     return tasks(spark, base).select("id", S.answer_index("answer", "options").alias("answer_index"))
 
 
-@plans.add(r"""WITH x AS (SELECT id, upper(trim(answer)) AS a, len(options) AS n FROM tasks)
-    SELECT id, CASE WHEN regexp_full_match(a, '\(?[A-Z]\)?\.?') AND ascii(regexp_extract(a, '([A-Z])', 1)) - 65 BETWEEN 0 AND n - 1
-        THEN regexp_extract(a, '([A-Z])', 1) WHEN regexp_full_match(a, '\d{1,9}') AND CAST(a AS INTEGER) BETWEEN 0 AND n - 1 THEN chr(65 + CAST(a AS INTEGER)) END AS letter FROM x""")
+#: Answers as they are, as lists, as numbers and in sentences.
+SPELT = "CASE ascii(right(id, 1)) % 4 WHEN 0 THEN '[' || chr(39) || answer || chr(39) || ', 0]' WHEN 1 THEN '(' || answer || ') as said' WHEN 2 THEN ' ' || (ascii(answer) - 65) ELSE answer END"
+
+
+@plans.add(rf"""WITH w AS (SELECT id, trim({SPELT}) AS a, len(options) AS n FROM tasks),
+    y AS (SELECT id, n, upper(trim(CASE WHEN a LIKE '[%' THEN split_part(a, chr(39), 2) ELSE a END)) AS a FROM w),
+    x AS (SELECT id, n, CASE WHEN regexp_full_match(a, '\d+') THEN CAST(a AS INTEGER) ELSE ascii(nullif(regexp_extract(a, '([A-Z])', 1), '')) - 65 END AS i FROM y)
+    SELECT id, CASE WHEN i BETWEEN 0 AND least(n, 26) - 1 THEN chr(65 + i) END AS letter FROM x""")
 def f9_answer_letter(spark, base):
-    return tasks(spark, base).select("id", S.answer_letter("answer", F.size("options")).alias("letter"))
+    return tasks(spark, base).select("id", S.answer_letter(F.expr(SPELT), F.size("options")).alias("letter"))
 
 
-PRED = rf"""coalesce(({BOX})[-1], regexp_extract_all(upper(final_answer_text), 'ANSWER(?:\s+IS)?\s*[:\s]\s*\(?([A-J])\b', 1)[-1])"""
+PRED = rf"""coalesce(CASE WHEN len(list_distinct({BOX})) = 1 THEN ({BOX})[1] END,
+    CASE WHEN ascii(nullif(upper(regexp_extract(final_answer_text, '(?i)(?:answer|final answer)\s*[:：]\s*\(?\s*([A-Z])\s*\)?', 1)), '')) - 65 < 5
+        THEN upper(regexp_extract(final_answer_text, '(?i)(?:answer|final answer)\s*[:：]\s*\(?\s*([A-Z])\s*\)?', 1)) END)"""
 
 
-@plans.add(f"SELECT {K}, CASE WHEN ascii(p) - 65 BETWEEN 0 AND 4 THEN p END AS letter FROM (SELECT {K}, {PRED} AS p FROM search_nodes WHERE action = 'submit')")
+@plans.add(FINAL.format(PRED + " AS letter"))
 def f10_predicted_letter(spark, base):
     return finals(spark, base).select(*KEY, S.predicted_letter("final_answer_text", F.lit(5)).alias("letter"))
 
 
+@plans.add(FINAL.format(f"coalesce(CASE WHEN len(list_distinct({BOX})) = 1 THEN ({BOX})[1] END, " + ", ".join(f"nullif(upper(regexp_extract(final_answer_text, '{p}', 1)), '')" for p in S.PREDICTIONS) + ") AS letter"))
+def f11_stated_letter(spark, base):
+    return finals(spark, base).select(*KEY, S.stated_letter("final_answer_text").alias("letter"))
+
+
 OPTIONS = r"""array_to_string(list_transform(options, lambda o, i: '(' || chr(64 + CAST(i AS INTEGER)) || ') ' || trim(regexp_replace(o, '^\s*\(?[A-Z][).:]\s+', ''))), chr(10))"""
 
 
@@ -236,9 +250,8 @@ def r5_cosine(spark, base):
     return table(spark, base, "events").select("event_id", F.round(r, 6).alias("reward"))
 
 
-@plans.add(FINAL.format(rf"""coalesce(nullif(regexp_extract(upper(final_answer_text), '(?s)<ANSWER>\s*\(?([A-J])\)?\s*</ANSWER>', 1), ''), ({BOX})[-1],
-    regexp_extract_all(upper(final_answer_text), 'ANSWER(?:\s+IS)?\s*[:\s]\s*\(?([A-J])\b', 1)[-1],
-    nullif(regexp_extract(right(upper(final_answer_text), 200), '(?s)^(?:.*[^\p{{L}}\p{{N}}_])?([A-J])(?:[^\p{{L}}\p{{N}}_].*)?$', 1), '')) AS letter"""))
+@plans.add(FINAL.format("coalesce(" + ", ".join(f"nullif(regexp_extract(final_answer_text, '{p}', 1), '')" for p in S.STATED)
+    + r""", nullif(regexp_extract(right(final_answer_text, 200), '(?s)^(?:.*[^\p{L}\p{N}_])?([A-J])(?:[.,\s].*)?$', 1), '')) AS letter"""))
 def r9_flexible(spark, base):
     return finals(spark, base).select(*KEY, S.flexible_answer("final_answer_text").alias("letter"))
 

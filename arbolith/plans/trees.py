@@ -104,7 +104,7 @@ SPREAD = """SELECT task_id, parent_id, count(*) AS n, var_pop(CASE WHEN is_corre
 
 
 def _scored(spark, base):
-    n = nodes(spark, base, "parent_id", "is_correct").filter("parent_id <> ''")
+    n = nodes(spark, base, "parent_id", "is_correct", "is_terminal").filter("parent_id <> ''")
     return n.withColumn("acc", F.coalesce(F.col("is_correct"), F.lit(False)).cast("double"))
 
 
@@ -116,7 +116,7 @@ def w18_spread_width(spark, base):
 @plans.add()
 def w18_g6_spread(spark, base):
     """Greedy, so held against brute force in the tests."""
-    return T.spread_children(_scored(spark, base), ["task_id", "parent_id"], "node_id", "acc", 4, 8)
+    return T.spread_children(_scored(spark, base).withColumn("ends", F.col("is_terminal").cast("int")), ["task_id", "parent_id"], "node_id", "acc", 4, 8, "acc", "ends")
 
 
 @plans.add(NODES + """, x AS (SELECT task_id, node_id, CASE WHEN isnan(delegate_confidence) THEN 0 ELSE coalesce(delegate_confidence, 0) END AS a, coalesce(price, 0) AS b, CAST(coalesce(input_tokens, 0) AS DOUBLE) AS c FROM n WHERE action = 'delegate'),

@@ -46,9 +46,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove every table written by :func:`materialize`; results reading them must be done."""
-    while _written:
+def mark() -> int:
+    """Where :func:`release` is to stop: what is written from now on goes."""
+    return len(_written)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables written by :func:`materialize` since the ``since`` of :func:`mark`; results reading them must be done.
+
+    A long session calls it after each query it has used up.
+    """
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

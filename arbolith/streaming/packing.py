@@ -128,18 +128,22 @@ def run_to_end(stream: DataFrame, path: str, shard: str, item: str, length: str,
 
 
 def _run(stream: DataFrame, out: str, mode: str) -> None:
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-offsets").option("path", out).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}/_offsets").option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def run_once(stream: DataFrame, name: str = "stream", mode: str = "append") -> DataFrame:
-    """What a stream yields from all that is there now, through a Parquet sink with a checkpoint."""
+def run_once(stream: DataFrame, name: str = "stream", mode: str = "append", out: str | None = None) -> DataFrame:
+    """What a stream yields from all that is there now, through a Parquet sink with its checkpoint in the same folder.
+
+    With the same ``out`` a later call goes on where the last one ended and
+    yields all there is; without, the folder is a scratch one.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    out = out or scratch(spark, name)
     _run(stream, out, mode)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def snapshots(stream: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "snapshots") -> DataFrame:
+def snapshots(stream: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "snapshots", out: str | None = None) -> DataFrame:
     """The current version of each key after all that is there now: each batch is appended, and read as the latest."""
-    return latest(run_once(stream, name), keys, order)
+    return latest(run_once(stream, name, out=out), keys, order)

@@ -1,5 +1,7 @@
 import json
 import math
+import os
+import random
 
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbolith import storage
 from arbolith.functions import scalars as S
-from arbolith.operators import advantage, chats, ordering, preference, sampling, trees
+from arbolith.operators import advantage, chats, ordering, preference, sampling, selection, trees
 from arbolith.sources import catalog, files, registry
 from arbolith.streaming import packing
 from arbolith.tables import latest
@@ -89,7 +91,7 @@ def test_contiguous_shards_follow_even_spacing(spark, n, rows):
 def test_packing_keeps_every_item_and_the_capacity(spark):
     sizes = [int(x) for x in np.random.default_rng(3).integers(1, 70, 400)] + [250]
     df = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")
-    packed = sampling.pack_sequences(df, "i", "n", 100, 50, 3, ["i"])
+    packed = sampling.pack_sequences(df, "i", "n", 100, 50, ["i"], -(-df.count() // 3))
     assert sorted(r.i for r in packed.collect()) == list(range(401))
     for r in sampling.bin_totals(packed, df, "i", "n").collect():
         assert r.total <= 100 or r.items == 1
@@ -178,6 +180,24 @@ def test_spread_keeps_the_ends_and_goes_far(spark):
     assert trees.spread_children(few, ["p"], "n", "v", 1, 1).count() == 3
 
 
+def test_spread_ties_and_rounds_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("pqr"), f"n{i:03d}", rng.choice([0.0, 0.25, 0.5, 1.0, None]), rng.randrange(3), rng.randrange(3)) for i in range(90)]
+    rows += [(None, f"m{i}", 0.5, 0, 0) for i in range(5)] + [("few", "a", 1.0, 0, 0), ("few", "b", 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, "p string, n string, v double, c int, t int")
+    width = {r.p: r.k for r in trees.spread_width(df, ["p"], "v", 3, 7).collect()}
+    want = set()
+    for p in {r[0] for r in rows}:
+        kids = sorted(((v or 0.0, c, t, n) for q, n, v, c, t in rows if q == p), key=lambda x: (-x[0], -x[1], -x[2], x[3]))
+        kept = kids[: width[p]] if len(kids) < 4 or width[p] >= len(kids) else [kids[0], kids[-1]][: width[p]]
+        while len(kept) < min(width[p], len(kids)):
+            gaps = lambda x: [abs(x[0] - y[0]) for y in kept]  # noqa: B023, E731
+            kept.append(max((x for x in kids if x not in kept), key=lambda x: (min(gaps(x)), round(sum(gaps(x)) / len(kept), 12), x[0], x[2], x[3])))
+        want |= {(p, x[3]) for x in kept}
+    for room in (1000, 3):
+        assert {(r.p, r.n) for r in trees.spread_children(df, ["p"], "n", "v", 3, 7, "c", "t", room).collect()} == want
+
+
 def test_messages(spark):
     talk = [[("user", "a", None), ("user", "b", None), ("assistant", "<think>x</think> c", None), ("user", "d", None)], [], None, [("human", None, None)]]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(talk)], f"i int, m {chats.MESSAGES}")
@@ -255,3 +275,60 @@ def test_negatives_are_others_and_at_most_k(spark):
     got = {r.k: r.negatives for r in sampling.negatives(df, "k", "r", 6, 1).collect()}
     assert all(own[k] not in v and len(v) <= 6 and None not in v for k, v in got.items())
     assert sampling.negatives(df.limit(1), "k", "r", 6, 1).count() == 0
+
+
+def test_streams_resume_from_their_folder(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id AS a", "id * 2 AS b")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: packing.read_stream(spark, str(tmp_path / "in"), "a long, b long")
+    assert packing.run_once(stream(), out=str(tmp_path / "out")).count() == 10
+    rows.filter("a < 3").write.mode("append").parquet(str(tmp_path / "in"))
+    assert packing.run_once(stream(), out=str(tmp_path / "out")).count() == 13
+
+
+def test_ranks_within(spark):
+    rows = [(g, i) for i, g in enumerate(["a"] * 50 + [None] * 7 + ["b"])]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    got = {(r.g, r.i): (r.rank, r.size) for r in ordering.ranks_within(df, "g", ["i"]).collect()}
+    assert got == {(g, i): (i + 1, 50) if g == "a" else (i - 49, 7) if g is None else (1, 1) for g, i in rows}
+    assert ordering.ranks_within(df.limit(0), "g", ["i"]).count() == 0
+
+
+def test_released_tables_are_gone(spark):
+    before = storage.mark()
+    path = storage.materialize(spark.range(3)).inputFiles()[0]
+    assert storage.mark() == before + 1
+    storage.release(before)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_sampled_children(spark):
+    rows = [(p, f"n{i:02d}", float(i % 2)) for p in ("p", None) for i in range(40)] + [("few", "a", 1.0), ("few", "b", None)]
+    df = spark.createDataFrame(rows, "p string, n string, v double")
+    got = selection.sampled_children(df, ["p"], "n", "v", 10, 0.0, 0.1).collect()
+    assert sorted((r.p or "", r.n) for r in got) == sorted({(r.p or "", r.n) for r in got}) and len(got) == 22
+    odd = [int(r.n[1:]) % 2 for r in got if r.p != "few"]
+    assert sum(odd) >= 19  # exp(10) to 1 for the children that are right
+    even = [int(r.n[1:]) % 2 for r in selection.sampled_children(df, ["p"], "n", "v", 10, 1.0, 0.1).collect() if r.p != "few"]
+    assert 4 <= sum(even) <= 16
+    assert sorted(map(str, got)) == sorted(map(str, selection.sampled_children(df.repartition(7), ["p"], "n", "v", 10, 0.0, 0.1).collect()))
+
+
+def test_interleaved_by_share(spark):
+    a, b = spark.range(60).withColumn("k", F.lit("a")), spark.range(40).withColumn("k", F.lit("b"))
+    first = selection.interleave_by_share([(a, ["id"]), (b, ["id"])], [3, 1]).orderBy("slot").collect()
+    assert [r.slot for r in first] == list(range(len(first))) and (sum(r.k == "a" for r in first) == 60 or sum(r.k == "b" for r in first) == 40)
+    every = selection.interleave_by_share([(a, ["id"]), (b, ["id"])], [3, 1], stop="all").orderBy("slot").collect()
+    assert [r.id for r in every if r.k == "a"] == list(range(60)) and [r.id for r in every if r.k == "b"] == list(range(40))
+    assert selection.interleave_by_share([(a, ["id"]), (b.limit(0), ["id"])], [1, 1]).filter("k = 'b'").count() == 0
+
+
+def test_repairs_and_templates(spark):
+    df = spark.createDataFrame([("[{a}{b}\n{c}\n  {d}]", "héllo wörld", None), (None, "", "x")], "lit string, t string, label string")
+    spans = F.array(F.struct(F.lit(1).alias("a"), F.lit(3).alias("b")), F.struct(F.lit(6).alias("a"), F.lit(20).alias("b")))
+    got = df.select(
+        selection.mended_literal(F.col("lit")).alias("m"), selection.tagged_spans(F.col("t"), spans, "#").alias("s"),
+        selection.teacher_prompt(F.col("t"), F.lit("{prompt}"), F.col("label"), "{prompt}|{answer}", "{label}|{prompt}|{answer}").alias("p"),
+    ).collect()
+    assert got[0].m == "[{a},{b},{c},{d}]" and got[0].s == "h#lo #" and got[1].m is None
+    assert got[1].p is None

@@ -4,20 +4,72 @@ import math
 from pyspark.sql import functions as F
 
 from arbolith.functions import parsing as P
+from arbolith.functions import scalars as S
 
 
 def test_find_object():
-    assert P.find_object('x ```json\n{"a": 1}\n``` y {"b": 2}') == {"a": 1}
+    assert P.find_object('x ```json\n{"a": 1}\n``` y {"b": 2}') == {"b": 2}  # a bare object wins over a fenced one
+    assert P.find_object('{"b": 2} y ```json\n{"a": 1}\n```') == {"b": 2}
     assert P.find_object('{"a": 1} then {"b": {"c": "}"}} end') == {"b": {"c": "}"}}
+    assert P.find_object('<think>{"a": 1}</think> {"b": 2}') == {"a": 1}  # the thought's object comes as one more balanced one
+    assert P.find_object('<think>{"a": }</think> {"b": 2}') == {"b": 2}
     assert P.find_object('{"a": "\\boxed{A} \\alpha"}')["a"].endswith("\\alpha")
+    assert P.find_object(r'{"a": "\\ \d é"}') == {"a": "\\ \\d é"}
+    assert P.find_object('say "{" then {"a": 1}') == {"a": 1}
+    assert P.find_object('{"a": 1} {broken}') == {"a": 1}
     assert P.find_object("{broken") is None and P.find_object(None) is None and P.find_object("[1]") is None
 
 
 def test_payload_answer(spark):
-    texts = ['{"boxed_letter": "b"}', "\\boxed{C}", "\\boxed{C} \\boxed{D}", "The answer is D.", "(A)", "only E here", "A or B", None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    cases = {
+        '{"boxed_letter": " z "}': "Z",
+        '{"boxed_letter": "AB", "final_answer": "\\\\boxed{c}"}': "C",
+        '{"final_answer": "\\\\boxed{c} \\\\boxed{d}"} \\boxed{A}': None,
+        '{"final_answer": "(b)."}': "B",
+        '{"final_answer": "\'(B)\'"}': "B",
+        '{"final_answer": "so it is none"} \\boxed{E}': "E",
+        '{"final_answer": "The answer is (d), I think"}': "D",
+        '{"final_answer": "so I take c."}': "C",
+        '{"final_answer": "it lies 2 km off; d or d"}': "D",
+        '{"final_answer": "DDD 44"}': "D",
+        '{"final_answer": "none of A and B"}': "B",
+        '{"answer": "B"}': None,
+        "\\boxed{C}": "C",
+        "\\boxed{C} \\boxed{D}": None,
+        "The answer is D.": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string")
     got = [r.x for r in df.select("i", P.payload_answer("t").alias("x")).orderBy("i").collect()]
-    assert got == ["B", "C", None, "D", "A", "E", None, None, None]
+    assert got == [*cases.values(), None]
+
+
+def test_confidence(spark):
+    cases = {'{"confidence": "0.4"} confidence: 0.9': 0.4, '{"confidence": 7}': 1.0, '{"confidence": "high"} 30%': 0.3, "Confidence = 85": 0.85, "none": None}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    assert [r.x for r in df.select("i", P.confidence("t").alias("x")).orderBy("i").collect()] == list(cases.values())
+
+
+def test_letters(spark):
+    cases = [
+        ("C) text", "C", None, None, None),
+        ("so b", None, None, None, None),
+        ("['D', 'A']", "D", None, None, None),
+        ("[2]", "C", None, None, None),
+        ("1", "B", None, None, None),
+        ("9", None, None, None, None),
+        ("Z", None, None, None, None),
+        ("\\boxed{A} \\boxed{B} answer: C", "B", "C", "A", "A"),
+        ("<answer>E</answer> \\boxed{A}", "A", "A", "E", "A"),
+        ("The best option is (B). Not C, D", None, None, "B", None),
+        ("I take A, then B. ok", None, None, "B", None),
+        ("answer: **C** or answer: D", "A", "D", "C", "D"),
+        ("Final answer J", "F", None, "J", "J"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    n = F.lit(6)
+    got = df.select("i", S.answer_letter("t", n).alias("a"), S.predicted_letter("t", n).alias("p"), S.flexible_answer("t").alias("f"), S.stated_letter("t").alias("s")).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]
 
 
 def test_overlap(spark):
@@ -28,6 +80,7 @@ def test_overlap(spark):
     assert math.isclose(r1, 100 * 4 / 7, abs_tol=1e-6) and math.isclose(r2, 100 * 2 / 5, abs_tol=1e-6) and math.isclose(rl, r1)
     want = math.exp(1 - 4 / 3) * math.exp((math.log(2 / 3) + math.log(1 / 2) + math.log(1 / 2) + math.log(1 / 4)) / 4)
     assert math.isclose(bleu, 100 * want, abs_tol=1e-5)
+    assert math.isclose(P.overlap("质量不变", "质量 变")[0], 100 * 6 / 7, abs_tol=1e-6)
     df = spark.createDataFrame([("a", "a"), ("", "a"), (None, None)], "p string, y string")
     assert [r.m.rouge_1 for r in df.select(P.overlap_metrics("p", "y").alias("m")).collect()] == [100.0, None, None]
 

@@ -39,3 +39,16 @@ def test_names_need_no_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_a_leftover_folder_of_the_subpackage_is_no_error(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "arbolith"), tmp_path / "arbolith", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "arbolith" / "llm" / "__pycache__").mkdir(parents=True)
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()); assert 'p4_found' in e.queries() and 'p1_found' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=tmp_path)
