@@ -49,11 +49,11 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
     last_word is the last run of letters in lower case, tail the last sentence.
     Each step is a projection of its own, so that Catalyst evaluates it once.
     """
-    S, D, W, B, G, C, L, T = (f"__{out}_{x}" for x in "sdwbgclt")
+    S, E, D, W, B, G, C, L, T = (f"__{out}_{x}" for x in "sedwbgclt")
     s, whole, base, core, line, tail = (F.col(x) for x in (S, W, B, C, L, T))
 
     def last(n: int) -> Column:
-        return F.right(S, F.lit(n))
+        return F.right(E, F.lit(n))
 
     def odd(mark: str) -> Column:
         return ((F.length(text) - F.length(F.replace(F.col(text), F.lit(mark), F.lit("")))) / len(mark)) % 2 == 1
@@ -70,14 +70,15 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
         .when(core == "", WHOLE)
         .when(F.col(G) & core.rlike(r"(?:[.!?。！？؟।]['\"”’»)\]*_]*|```|\$\$|:)$"), WHOLE)
         .when(line.rlike(LABEL_LINE), WHOLE)
-        .when(core.rlike(DANGLING_END), OPEN)
+        .when(F.right(core, F.lit(12)).rlike(DANGLING_END), OPEN)
         .when(line.rlike(LIST_LINE) | tail.rlike(FORMULA), F.when(F.col(G), WHOLE).otherwise(DOUBTFUL))
-        .when((words <= 6) & (F.length(text) <= 60) & ~core.rlike(r"[.!?]\s|[。！？，\n]|\p{IsHan}{4}"), BRIEF)
+        .when((F.length(text) <= 60) & (words <= 6) & ~core.rlike(r"[.!?]\s|[。！？，\n]|\p{IsHan}{4}"), BRIEF)
         .otherwise(OPEN)
     )
     rtrim = F.expr("rtrim(concat(' ', chr(9), chr(10), chr(13), chr(11), chr(12)), {})".format(f"`{text}`"))
     return (
         df.withColumn(S, rtrim)
+        .withColumn(E, F.right(S, F.lit(90)))
         .withColumn(D, last(3).rlike(r"(?:…|\.{3})$"))
         .withColumn(W, ~F.col(D) & last(12).rlike(TERMINAL) & ~last(24).rlike(HALF_NUMBER))
         .withColumn(B, F.when(F.col(D), F.regexp_replace(S, r"\s*(?:…|\.{3,})$", "")).when(~whole, s))
@@ -93,5 +94,5 @@ def with_ending(df: DataFrame, text: str, out: str) -> DataFrame:
                 tail.alias("tail"),
             ),
         )
-        .drop(S, D, W, B, G, C, L, T)
+        .drop(S, E, D, W, B, G, C, L, T)
     )
