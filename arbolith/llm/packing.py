@@ -213,7 +213,9 @@ def containers(df: DataFrame, item: str, length: Column, capacity: int) -> DataF
         )
 
     shard = F.pmod(F.xxhash64("item", "n", "copy"), F.lit(shards))
-    packed = loose.withColumn("shard", shard).groupBy("shard").applyInPandas(
+    # as many partitions as spread few shards over tasks of their own; a number of its own keeps AQE from joining small ones
+    spread = loose.withColumn("shard", shard).repartition(shards if shards > 1000 else 4 * shards, "shard")
+    packed = spread.groupBy("shard").applyInPandas(
         run, f"item {kind}, container string, part int, start long, length long"
     )
     return full.unionByName(packed).select(F.col("item").alias(item), "container", "part", "start", "length")
