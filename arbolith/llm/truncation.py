@@ -13,7 +13,7 @@ from arbolith.tables import latest
 
 #: Lengths within so many of each other make up the local level a spike is held against.
 NEAR = 15
-#: A spike has so many times the local level, is so many standard deviations of a count above it, and this share of its values ends open.
+#: A spike has so many times the local level of values that end open, is so many standard deviations above it, and this share of its values ends open.
 SPIKE_TIMES, SPIKE_SIGMA, SPIKE_OPEN = 3.0, 4.0, 0.4
 #: Units of length that limits are set in; a word is what blanks separate.
 UNITS = ("chars", "bytes", "words")
@@ -58,17 +58,18 @@ def field_endings(
 
 
 def length_spikes(endings: DataFrame) -> DataFrame:
-    """field_name, source, unit (of UNITS), n: lengths at which a limit cuts.
+    """field_name, source, unit (of UNITS), n: lengths at which a limit cuts; dots of the author's (``common``) are no open end.
 
-    A length is a spike if at least SPIKE_OPEN of its texts end open, and it
-    has at least SPIKE_TIMES the mean number of texts of the lengths within
-    NEAR and more than that by SPIKE_SIGMA standard deviations of a count. A
+    A length is a spike if at least SPIKE_OPEN of its texts end open, and
+    these are at least SPIKE_TIMES the mean number of such texts at the lengths
+    within NEAR and exceed it by SPIKE_SIGMA standard deviations of a count. A
     limit that all texts of a source keep is its maximum; one that holds for
     some of them, as here, has longer texts above it, so a pile is looked for
     instead. Histograms are aggregated before the shuffle and have one row per
     length.
     """
-    is_open = F.col("kind").isin(OPEN, MARKED).cast("int")
+    dots = (F.col("kind") == ELLIPSIS) & ~F.col("common")  # a log may put them in place of the rest
+    is_open = (F.col("kind").isin(OPEN, MARKED) | dots).cast("int")
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"n_{u}").alias("n")) for u in UNITS]))
     hist = (
         endings.select("field_name", "source", is_open.alias("o"), units.alias("u"))
@@ -76,13 +77,13 @@ def length_spikes(endings: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("all"), F.sum("o").alias("open"))
     )
     near = Window.partitionBy("field_name", "source", "unit").orderBy("n").rangeBetween(-NEAR, NEAR)
-    level = (F.sum("all").over(near) - F.col("all")) / (2 * NEAR)
+    level = (F.sum("open").over(near) - F.col("open")) / (2 * NEAR)
     return (
         hist.withColumn("level", level)
         .filter(
             (F.col("open") >= SPIKE_OPEN * F.col("all"))
-            & (F.col("all") >= SPIKE_TIMES * F.col("level"))
-            & (F.col("all") - F.col("level") >= SPIKE_SIGMA * F.sqrt(F.col("level") + 1))
+            & (F.col("open") >= SPIKE_TIMES * F.col("level"))
+            & (F.col("open") - F.col("level") >= SPIKE_SIGMA * F.sqrt(F.col("level") + 1))
         )
         .select("field_name", "source", "unit", "n")
     )
@@ -108,47 +109,32 @@ def word_prefixes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return words.select(F.explode(cuts).alias("x")).groupBy("x.word").agg(F.max("x.whole").alias("whole"))
 
 
-def whole_tails(out: DataFrame) -> DataFrame:
-    """tail, common, known: last sentences that are their authors', dots or not, and lines that are whole.
+def authors_dots(out: DataFrame) -> DataFrame:
+    """tail, common: last sentences with dots that are their authors'.
 
-    Dots are the author's if the lower bound of their sentence's share of its
-    source's or field's values is high enough; a line is whole if it is the
-    end of more values off the spikes than on them. Values cut by other signs
-    are no evidence.
+    They are if the lower bound of the sentence's share of its source's or
+    field's values is high enough. Values cut by other signs are no evidence.
     """
     c = F.col
-    per = (
-        out.filter("tail IS NOT NULL AND NOT (torn OR blank_cut)")
-        .groupBy("tail", "field_name", "source")
-        .agg(
-            F.count(F.when((c("kind") == ELLIPSIS) & ~c("limited"), 1)).alias("dotted"),
-            F.count(F.when((c("kind") == DOUBTFUL) & ~c("limited"), 1)).alias("off"),
-            F.count(F.when((c("kind") == DOUBTFUL) & c("limited"), 1)).alias("on"),
-        )
-    )
     size = out.groupBy("field_name", "source").agg(F.count("*").alias("n")).withColumnsRenamed({"field_name": "__f", "source": "__s"})
-    size = materialize(size.withColumn("all", F.sum("n").over(Window.partitionBy("__f"))), "sizes")
+    size = small_side(materialize(size.withColumn("all", F.sum("n").over(Window.partitionBy("__f"))), "sizes"))
+    dotted = out.filter((c("kind") == ELLIPSIS) & ~c("torn") & ~c("blank_cut"))
+    per = dotted.groupBy("tail", "field_name", "source").agg(F.count("*").alias("dotted"))
     same = (c("field_name") == c("__f")) & c("source").eqNullSafe(c("__s"))
 
     def surely(share: float, of: str) -> Column:
         return c("dotted") - 2 * F.sqrt("dotted") >= share * c(of)
 
-    fields = (
-        per.join(small_side(size), same)
-        .groupBy("tail", "field_name")
-        .agg(
-            F.max(surely(SOURCE_SHARE, "n")).alias("of_source"),
-            F.sum("dotted").alias("dotted"),
-            F.max("all").alias("all"),
-            F.sum("off").alias("off"),
-            F.sum("on").alias("on"),
-        )
-    )
-    return (
-        fields.groupBy("tail")
-        .agg(F.max(c("of_source") | surely(FIELD_SHARE, "all")).alias("common"), (F.sum("off") > F.sum("on")).alias("known"))
-        .filter("common OR known")
-    )
+    fields = per.join(size, same).groupBy("tail", "field_name")
+    fields = fields.agg(F.max(surely(SOURCE_SHARE, "n")).alias("of_source"), F.sum("dotted").alias("dotted"), F.max("all").alias("all"))
+    return fields.groupBy("tail").agg(F.max(c("of_source") | surely(FIELD_SHARE, "all")).alias("common")).filter("common")
+
+
+def whole_lines(out: DataFrame) -> DataFrame:
+    """tail, known: last lines of lists, formulas and labels that are the end of more values off the spikes than on them."""
+    rows = out.filter((F.col("kind") == DOUBTFUL) & ~F.col("torn") & ~F.col("blank_cut"))
+    per = rows.groupBy("tail").agg(F.sum(F.when(F.col("limited"), -1).otherwise(1)).alias("more"))
+    return per.filter("more > 0").select("tail", F.lit(True).alias("known"))
 
 
 def truncated_values(
@@ -168,29 +154,30 @@ def truncated_values(
     rows of a key without ``order`` give a row each.
     """
     ends = materialize(field_endings(df, keys, fields, order), "endings")
-    spikes = length_spikes(ends)
     last = ends.select(F.col("last_word").alias("word")).filter(F.length("word").between(2, LAST_WORD - 1)).distinct()
     fragments = (
         last.join(word_prefixes(df, list(fields)).hint("merge"), "word")
         .filter(~F.col("whole"))
         .select(F.col("word").alias("last_word"), F.lit(True).alias("fragment"))
     )
-    fragments = materialize(fragments, "fragments")  # read for the evidence and for the values
-    by = ["field_name", "source"]
-    at = spikes.groupBy(*by).agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("n"))).alias(u) for u in UNITS])  # a row per field and source
-    at = small_side(materialize(at.withColumnRenamed("source", "__s").withColumnRenamed("field_name", "__f"), "spikes"))
-    same = (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s"))
-    limited = F.lit(False)
-    for u in UNITS:
-        limited = limited | F.array_contains(u, F.col(f"n_{u}"))
-    out = ends.join(at, same, "left").withColumn("limited", F.coalesce(limited, F.lit(False))).drop(*UNITS, "__s", "__f")
     kind, whole = F.col("kind"), F.col("kind") == WHOLE
     tidy = ends.agg((F.count(F.when(whole & F.col("blank_end"), 1)) <= BLANK_SHARE * F.count(F.when(whole, 1))).alias("tidy"))
-    out = _left(out, fragments, "last_word").crossJoin(F.broadcast(tidy))  # one row
+    out = _left(ends, fragments, "last_word").crossJoin(F.broadcast(tidy))  # one row
     out = out.withColumn("torn", F.coalesce("fragment", F.lit(False)))
     out = out.withColumn("blank_cut", kind.isin(WHOLE, DOUBTFUL) & F.col("blank_end") & F.col("tidy"))
-    out = _left(out, whole_tails(out), "tail")
-    common, known = (F.coalesce(F.col(c), F.lit(False)) for c in ("common", "known"))
+    out = materialize(out.drop("fragment", "tidy", "last_word"), "torn")
+    out = _left(out, authors_dots(out), "tail").withColumn("common", F.coalesce("common", F.lit(False)))
+    out = materialize(out, "dots")
+    at = length_spikes(out).groupBy(F.col("field_name").alias("__f"), F.col("source").alias("__s"))
+    at = at.agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("n"))).alias(u) for u in UNITS])
+    at = small_side(materialize(at, "spikes"))  # a row per field and source
+    same = (F.col("field_name") == F.col("__f")) & F.col("source").eqNullSafe(F.col("__s"))
+    limited = F.lit(False)
+    for u in UNITS:
+        limited = limited | F.array_contains(u, F.col(f"n_{u}"))
+    out = out.join(at, same, "left").withColumn("limited", F.coalesce(limited, F.lit(False))).drop(*UNITS, "__s", "__f")
+    out = _left(out, whole_lines(out), "tail")
+    common, known = F.col("common"), F.coalesce("known", F.lit(False))
     at_limit = F.col("limited") & (kind.isin(MARKED, OPEN) | ((kind == ELLIPSIS) & ~common) | ((kind == DOUBTFUL) & (F.col("torn") | ~known)) | ((kind == BRIEF) & F.col("torn")))
     elsewhere = kind.isin(MARKED, OPEN) | ((kind == ELLIPSIS) & ~common) | F.col("blank_cut") | (kind.isin(DOUBTFUL, BRIEF) & F.col("torn"))
     cause = F.when(at_limit, "limit").when(elsewhere, "transfer")
