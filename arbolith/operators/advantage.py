@@ -10,11 +10,15 @@ replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolith.operators.ordering import ranks_within
+from arbolith.storage import materialize
+
 EPS = 1e-4
 WHITE = 1e-8
 
@@ -180,18 +184,31 @@ def flat_share(df: DataFrame, group: Sequence[str], reward: str) -> DataFrame:
 
 
 def smooth(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, weight: float) -> DataFrame:
-    """``smoothed``: debiased exponential smoothing of the group's values up to each row.
+    """group, order and ``smoothed``: debiased exponential smoothing of the group's values up to each row.
 
     Values weigh weight^age, and their weighted sum is divided by the weights'
-    sum. Each group's values are folded in order; a group is one series.
+    sum. A series is cut into blocks so long that what lies two blocks back
+    weighs less than 1e-100; each block is summed up by itself and takes over
+    the sum of the block before, so a long series is no single task.
+    ``weight`` is from 0 to 1; a null or NaN value counts 0.
     """
-    items = F.sort_array(F.collect_list(F.struct(*order, number(value).alias("__v"))))
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        x, n = acc["x"] * weight + item["__v"], acc["n"] * weight + 1
-        return F.struct(x.alias("x"), n.alias("n"), F.concat(acc["out"], F.array(x / n)).alias("out"))
+    if not 0 <= weight <= 1:
+        raise ValueError("weight must be from 0 to 1")
+    rows = df.select(F.struct(*group).alias("__g"), *order, F.coalesce(number(value), F.lit(0.0)).alias("__v"))
+    if weight == 0:
+        return rows.select(*[F.col(f"__g.{c}").alias(c) for c in group], *order, F.col("__v").alias("smoothed"))
+    size = 100_000 if weight == 1 else math.ceil(-100 / math.log10(weight))
+    rows = ranks_within(rows, "__g", order, "__n", "__size")
+    rows = rows.withColumn("__b", F.expr(f"(__n - 1) div {size}")).withColumn("__k", ((F.col("__n") - 1) % size).cast("double"))
+    rows = materialize(rows.withColumn("__x", F.col("__v") * F.pow(F.lit(1 / weight), F.col("__k"))), "series")
+    sums = rows.groupBy("__g", "__b").agg(F.sum("__x").alias("__s"))
+    back = Window.partitionBy("__g").orderBy("__b")
+    before = F.sum("__s").over(back.rowsBetween(Window.unboundedPreceding, -1)) if weight == 1 else F.lag("__s").over(back)
+    sums = sums.select("__g", "__b", F.coalesce(before, F.lit(0.0)).alias("__before"))
+    within = Window.partitionBy("__g", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = rows.join(sums.hint("merge"), ["__g", "__b"]).withColumn("__sum", F.sum("__x").over(within))
+    old = F.pow(F.lit(weight), F.lit(float(size)))  # a block's sum is in units of its first row
+    total = F.pow(F.lit(weight), F.col("__k")) * (F.col("__sum") + F.col("__before") * old)
+    weights = F.col("__n").cast("double") if weight == 1 else (1 - F.pow(F.lit(weight), F.col("__n").cast("double"))) / (1 - weight)
+    return on.select(*[F.col(f"__g.{c}").alias(c) for c in group], *order, (total / weights).alias("smoothed"))
 
-    folded = df.groupBy(*group).agg(items.alias("__items")).withColumn("__out", F.aggregate("__items", zero, step, lambda a: a["out"]))
-    rows = folded.select(*group, F.explode(F.arrays_zip("__items", "__out")).alias("__x"))
-    return rows.select(*group, *[F.col(f"__x.__items.{c}").alias(c) for c in order], F.col("__x.__out").alias("smoothed"))

@@ -44,7 +44,7 @@ def ranks_within(df: DataFrame, group: str, order: Sequence[str], out: str = "ra
     taken off, by one row per group. Null groups are one group.
     """
     at = materialize(positions(df, [group, *order], "__at"), "ranks")
-    ends = at.groupBy(F.col(group).alias("__g")).agg(F.min("__at").alias("__from"), F.count("*").alias(size))
+    ends = at.groupBy(F.col(group).alias("__own_group")).agg(F.min("__at").alias("__from"), F.count("*").alias(size))
     ends = small_side(materialize(ends, "groups"))
-    got = at.join(ends, F.col(group).eqNullSafe(F.col("__g")))
-    return got.withColumn(out, F.col("__at") - F.col("__from") + 1).drop("__at", "__from", "__g")
+    got = at.join(ends, F.col(group).eqNullSafe(F.col("__own_group")))
+    return got.withColumn(out, F.col("__at") - F.col("__from") + 1).drop("__at", "__from", "__own_group")

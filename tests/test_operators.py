@@ -332,3 +332,18 @@ def test_repairs_and_templates(spark):
     ).collect()
     assert got[0].m == "[{a},{b},{c},{d}]" and got[0].s == "h#lo #" and got[1].m is None
     assert got[1].p is None
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.05, 0.9, 1.0])
+def test_smooth_long_series_against_a_loop(spark, weight):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([None, rng.random(), -5.0])) for g in ("a", None) for i in range(3000 if g else 40)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(6)
+    got = {(r.g, r.i): r.smoothed for r in advantage.smooth(df, ["g"], ["i"], "v", weight).collect()}
+    plain = {(r.g, r.i): r.x for r in df.select("g", "i", advantage.number("v").alias("x")).collect()}
+    for g in ("a", None):
+        x = n = 0.0
+        for i in range(3000 if g else 40):
+            v = plain[g, i]
+            x, n = x * weight + (v if v is not None else 0.0), n * weight + 1
+            assert math.isclose(got[g, i], x / n, rel_tol=1e-9, abs_tol=1e-12)
