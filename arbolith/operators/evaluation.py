@@ -175,6 +175,12 @@ def pair_losses(df: DataFrame, similarity: str, label: str, margin: float = 0.5)
     )
 
 
+def running_lists(df: DataFrame, group: Sequence[str], order: str, label: str, out: str) -> DataFrame:
+    """``out``: the number of the list in the group that a row belongs to; every positive starts one, rows before the first go."""
+    w = Window.partitionBy(*group).orderBy(order)
+    return df.withColumn(out, F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).over(w)).filter(F.col(out) > 0)
+
+
 def ranking_losses(df: DataFrame, group: Sequence[str], order: str, score: str, label: str, least: int = 2) -> DataFrame:
     """pointwise (logistic) and listwise (softmax over lists of at least ``least`` rows) losses, one row.
 
@@ -182,8 +188,7 @@ def ranking_losses(df: DataFrame, group: Sequence[str], order: str, score: str,
     """
     s, y = F.col(score), F.col(label)
     each = F.greatest(s, F.lit(0.0)) - s * y + F.log1p(F.exp(-F.abs(s)))
-    at = F.sum(F.when(y == 1, 1).otherwise(0)).over(Window.partitionBy(*group).orderBy(order))
-    lists = df.withColumn("__list", at).filter("__list > 0").groupBy(*group, "__list")
+    lists = running_lists(df, group, order, label, "__list").groupBy(*group, "__list")
     top = lists.agg(F.max(s).alias("__top"), F.max(F.when(y == 1, s)).alias("__own"), F.count("*").alias("__n"), F.collect_list(s).alias("__s"))
     total = F.aggregate("__s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
     per = top.filter(F.col("__n") >= least).agg(F.avg(F.ln(total) + F.col("__top") - F.col("__own")).alias("listwise"))

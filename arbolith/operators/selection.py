@@ -205,3 +205,50 @@ def kept_for_training(paths: DataFrame, nodes: DataFrame, scope: Sequence[str],
     submits = submits if least <= 0 else submits.join(told.filter(F.col("__n") >= least).hint("merge"), [*scope, "__leaf"], "left_semi")
     delegates = on.select(*scope, node).distinct().withColumn("kind", F.lit("delegate"))
     return delegates.unionByName(submits.select(*scope, F.col("__leaf").alias(node), F.lit("submit").alias("kind")))
+
+
+def wrapped_tool(tool: Column) -> Column:
+    """A tool's JSON as {"type": "function", "function": ..}, unless it has either key already; null stays null."""
+    has = F.get_json_object(tool, "$.type").isNotNull() | F.get_json_object(tool, "$.function").isNotNull()
+    return F.when(has, tool).otherwise(F.concat(F.lit('{"type":"function","function":'), tool, F.lit("}")))
+
+
+def bare_tool(tool: Column) -> Column:
+    """The function of a wrapped tool's JSON; others unchanged."""
+    inner = F.get_json_object(tool, "$.function")
+    return F.when(F.get_json_object(tool, "$.type").isNotNull() & inner.isNotNull(), inner).otherwise(tool)
+
+
+def tool_name(tool: Column) -> Column:
+    """The name a model calls a tool by."""
+    plain = bare_tool(tool)
+    return F.coalesce(truthy(F.get_json_object(plain, "$.name_for_model")), F.get_json_object(plain, "$.name"))
+
+
+def array_statistics(values: Column) -> Column:
+    """struct(mean, std, least, most, size) of an array of numbers or of arrays of numbers, which are summed first.
+
+    The deviation is the population's; null items are left out, and an array without any has nulls and size 0.
+    """
+    items = F.filter(values, lambda x: x.isNotNull())
+    n = F.size(items)
+    mean = F.aggregate(items, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
+    off = F.aggregate(items, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0))
+    return F.struct(mean.alias("mean"), F.sqrt(off).alias("std"), F.array_min(items).alias("least"), F.array_max(items).alias("most"), n.alias("size"))
+
+
+def summed(nested: Column) -> Column:
+    """An array of arrays of numbers as the array of their sums; null items count 0."""
+    return F.transform(nested, lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))))
+
+
+#: What an exported row has, by how much is wanted of it.
+RECORDS = {
+    "minimal": ("messages", "answer", "expected_acc_reward"),
+    "standard": ("messages", "answer", "expected_acc_reward", "task_id", "node_id", "parent_id"),
+}
+
+
+def record(df: DataFrame, level: str, key: str) -> DataFrame:
+    """``key`` and the columns of RECORDS, or all columns for 'full'."""
+    return df if level == "full" else df.select(key, *RECORDS[level])

@@ -33,8 +33,8 @@ def node_class(max_depth: int) -> Column:
     )
 
 
-def roll_up(df: DataFrame, scope: Sequence[str], node: str, parent: str, leaf: Column, open_: Column, correct: Column) -> DataFrame:
-    """scope, node, terminals, correct, has_open, accuracy over the nodes below (null where there are none).
+def roll_up(df: DataFrame, scope: Sequence[str], node: str, parent: str, leaf: Column, open_: Column, correct: Column, empty: float | None = None) -> DataFrame:
+    """scope, node, terminals, correct, has_open, accuracy over the nodes below (``empty``, which may be NaN, where there are none).
 
     ``leaf`` says which nodes count as terminals, ``open_`` which as open,
     ``correct`` which terminals are right; null counts as false. Sums travel
@@ -53,7 +53,7 @@ def roll_up(df: DataFrame, scope: Sequence[str], node: str, parent: str, leaf: C
         below["leaf"].alias("terminals"),
         below["right"].alias("correct"),
         (below["open"] > 0).alias("has_open"),
-        F.try_divide(below["right"], below["leaf"]).alias("accuracy"),
+        F.coalesce(F.try_divide(below["right"], below["leaf"]), F.lit(empty).cast("double")).alias("accuracy"),
     )
 
 

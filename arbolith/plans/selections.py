@@ -13,6 +13,8 @@ from arbolith.plans.evaluations import NODES, nodes
 from arbolith.plans.registry import Plans
 from arbolith.plans.texts import VEC, vector_pairs
 from arbolith.plans.trees import TRAJ
+from arbolith.sources import files
+from arbolith.storage import scratch
 from arbolith.tables import table
 
 plans = Plans()
@@ -214,3 +216,73 @@ def g11_variance_weight(spark, base):
     per = n.groupBy("task_id", "parent_id").agg(F.count("*").alias("children"), F.round(F.var_pop(ok), 6).alias("spread"))
     return per.filter("children > 1")
 
+
+
+TOOL = """CASE ascii(right(id, 1)) % 3 WHEN 0 THEN '{"name":"' || source || '"}' WHEN 1 THEN '{"type":"function","function":{"name":"' || source || '"}}' ELSE '{"name_for_model":"m","name":"n"}' END"""
+
+
+@plans.add(f"""WITH t AS (SELECT id, source, {TOOL} AS tool, ascii(right(id, 1)) % 3 AS k FROM tasks)
+    SELECT id, CASE WHEN k = 1 THEN tool ELSE '{{"type":"function","function":' || tool || '}}' END AS wrapped, CASE WHEN k = 1 THEN '{{"name":"' || source || '"}}' ELSE tool END AS bare, CASE WHEN k = 2 THEN 'm' ELSE source END AS name FROM t""")
+def q16_tools(spark, base):
+    t = tasks(spark, base).select("id", F.expr(TOOL).alias("tool"))
+    return t.select("id", L.wrapped_tool(F.col("tool")).alias("wrapped"), L.bare_tool(F.col("tool")).alias("bare"), L.tool_name(F.col("tool")).alias("name"))
+
+
+@plans.add("""WITH x AS (SELECT row_id, list_transform(coalesce(messages, []), lambda m: CAST(coalesce(length(m.content), 0) + 1 AS DOUBLE)) AS v FROM training_rows)
+    SELECT row_id, round(list_avg(v), 5) AS mean, round(list_stddev_pop(v), 5) AS std, list_min(v) AS least, list_max(v) AS most, CAST(len(v) AS INTEGER) AS size FROM x""")
+def a16_nested_statistics(spark, base):
+    """Statistics of a row's messages, each a list of two numbers that are summed first."""
+    pairs = F.transform(F.coalesce("messages", F.array()), lambda m: F.array(F.length(m["content"]), F.lit(1)))
+    s = table(spark, base, "training_rows").select("row_id", L.array_statistics(L.summed(pairs)).alias("s")).select("row_id", "s.*")
+    return s.withColumn("mean", F.round("mean", 5)).withColumn("std", F.round("std", 5))
+
+
+@plans.add("SELECT row_id, answer, expected_acc_reward, task_id, node_id, parent_id, len(messages) AS n FROM training_rows")
+def g17_standard_record(spark, base):
+    r = L.record(table(spark, base, "training_rows"), "standard", "row_id")
+    return r.withColumn("n", F.when(F.col("messages").isNotNull(), F.size("messages")).cast("bigint")).drop("messages")
+
+
+@plans.add("""WITH x AS (SELECT event_id, user_id, value, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS y, sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY value DESC, event_id) AS r, row_number() OVER (PARTITION BY user_id, g ORDER BY y DESC, event_id) AS i, count(*) OVER (PARTITION BY user_id, g) AS n FROM x WHERE g > 0),
+    p AS (SELECT user_id, g, max(CASE WHEN y > 0 THEN 1 / r END) AS rr, sum((2 ** y - 1) / log2(r + 1)) AS dcg, sum((2 ** y - 1) / log2(i + 1)) AS ideal FROM k WHERE n > 1 GROUP BY 1, 2)
+    SELECT round(avg(rr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg FROM p WHERE ideal > 0""")
+def e6_running_lists(spark, base):
+    """Ranking metrics over lists that start at each positive."""
+    y = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    e = table(spark, base, "events").select("user_id", "event_id", "value", y.alias("y"))
+    lists = V.running_lists(e, ["user_id"], "event_id", "y", "list")
+    out = V.ranking_metrics(lists, ["user_id", "list"], "value", "y", "event_id")
+    return out.select(F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@plans.add(trees.FULL + """, b AS (SELECT task_id, unnest(path[:-2]) AS node_id, CAST(coalesce(is_terminal, false) AS INTEGER) AS te, CAST(coalesce(is_terminal AND is_correct, false) AS INTEGER) AS r FROM f WHERE path IS NOT NULL),
+    s AS (SELECT task_id, node_id, sum(te) AS t, sum(r) AS r FROM b GROUP BY 1, 2)
+    SELECT f.task_id, f.node_id, CAST(coalesce(t, 0) AS BIGINT) AS terminals, round(coalesce(r / nullif(t, 0), 0), 6) AS accuracy FROM f LEFT JOIN s USING (task_id, node_id) WHERE path IS NOT NULL""")
+def a8_all_terminals(spark, base):
+    """Accuracy over all terminal nodes below, not the submits only; 0 where there are none."""
+    from arbolith.operators import trees as T
+    from arbolith.storage import materialize
+
+    n = materialize(nodes(spark, base, *trees.FIELDS), "current")
+    out = T.roll_up(n, ["task_id"], "node_id", "parent_id", F.col("is_terminal"), F.lit(False), F.col("is_correct"), empty=0.0)
+    return out.select("task_id", "node_id", "terminals", F.round("accuracy", 6).alias("accuracy"))
+
+
+@plans.add("SELECT 'kept' AS part, id, source FROM tasks WHERE split IS DISTINCT FROM 'test' UNION ALL SELECT 'written', id, source FROM tasks WHERE split = 'test'")
+def s21_split_sink(spark, base):
+    """The test split as JSON lines, read back beside what is kept."""
+    path = scratch(spark, "s21")
+    kept = files.write_split(tasks(spark, base).select("id", "source", "split"), "split", "test", path, 100)
+    back = files.read_jsonl(spark, path, "id string, source string")
+    return kept.select(F.lit("kept").alias("part"), "id", "source").unionByName(back.select(F.lit("written").alias("part"), "id", "source"))
+
+
+@plans.add("SELECT id, split || '/' || source AS sample FROM tasks WHERE split IS NOT NULL AND source IS NOT NULL")
+def x15_sample_folders(spark, base):
+    """Tasks in folders of their split and source, found again whatever the depth."""
+    path = scratch(spark, "x15")
+    rows = tasks(spark, base).filter("split IS NOT NULL AND source IS NOT NULL").select("id", "split", "source")
+    rows.repartition("split", "source").write.partitionBy("split", "source").json(path)
+    found = files.read_samples(spark, path, "id string")
+    return found.select("id", F.regexp_replace("sample", r"split=|source=", "").alias("sample"))

@@ -100,3 +100,17 @@ def layered(keys: Sequence[str], *layers: DataFrame) -> DataFrame:
 def pending(requested: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The requested rows whose keys have no result yet."""
     return requested.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def write_split(df: DataFrame, part: str, value: str, path: str, rows_per_file: int = 0) -> DataFrame:
+    """Write the rows whose ``part`` is ``value`` as JSON lines, a file per partition, and return the others; null parts are others."""
+    write_jsonl(df.filter(F.col(part) == value).drop(part), path, append=False, rows_per_file=rows_per_file)
+    return df.filter(~F.col(part).eqNullSafe(F.lit(value)))
+
+
+def read_samples(spark: SparkSession, path: str, schema: T.StructType | str, name: str = "sample") -> DataFrame:
+    """JSON lines of all folders below ``path``, however deep, with the folder relative to ``path`` as ``name``."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    return rows.withColumn(name, F.regexp_replace(folder, rf"^.*/\Q{root}\E/?", ""))

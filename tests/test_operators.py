@@ -347,3 +347,20 @@ def test_smooth_long_series_against_a_loop(spark, weight):
             v = plain[g, i]
             x, n = x * weight + (v if v is not None else 0.0), n * weight + 1
             assert math.isclose(got[g, i], x / n, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_registries_and_loss_scales(spark):
+    assert registry.loss_scale_of("default") == ("default", "base") and registry.loss_scale_of("react") == ("default", "react")
+    assert registry.loss_scale_of("last_round+hermes+x") == ("last_round", "hermes+x")
+    df = spark.createDataFrame([("Thought: a Observation: b", "f", None, 1.0), (None, "g", "{}", None)], "t string, n string, a string, v double")
+    row = df.select(registry.loss_scales["react"](F.col("t")).alias("s"), registry.dialects["hermes"](F.col("n"), F.col("a")).alias("h"), registry.dialects["react"](F.col("n"), F.col("a")).alias("r")).first()
+    assert [(x.content, x.weight) for x in row.s] == [("Thought:", 1.0), (" a ", 1.0), ("Observation:", 2.0), (" b", 0.0)]
+    assert row.h == '<tool_call>\n{"name": "f", "arguments": {}}\n</tool_call>' and row.r == "Action: f\nAction Input: {}"
+    mean = registry.metrics["mean"]()
+    assert mean.compute() is None
+    mean.update(df, F.col("v"))
+    mean.update(df.limit(0), F.col("v"))
+    mean.update(df, F.lit(4.0))
+    assert mean.compute() == 3.0
+    mean.reset()
+    assert mean.compute() is None
