@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arbolith.functions import scalars as S
 from arbolith.operators.ordering import running_total
-from arbolith.storage import small_side
+from arbolith.storage import materialize, small_side
 
 
 def accuracy_by(df: DataFrame, key: str | Column, correct: Column) -> DataFrame:
@@ -98,26 +98,24 @@ def token_accuracy(df: DataFrame, labels: str, predictions: str) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``out``: the rank of ``column`` among all rows, ties sharing their mean.
+def paired_metrics(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """measure, pearson, spearman of cosine, -L1, -L2 and dot against the label; pairs without a measure or label are left out of it.
 
-    Ranks come from counts of the distinct values in range partitions, so no
-    task sees them all.
+    The ranks of all measures and of the labels beside them come from one range
+    sort of distinct values; where a measure's ranks start doesn't matter to a correlation.
     """
-    per = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__x")).agg(F.count("*").alias("__n"))
-    per = running_total(per, ["__x"], "__n", "__upto").select("__x", (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(out))
-    return df.join(per, F.col(column) == F.col("__x")).drop("__x")
-
-
-def paired_metrics(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """measure, pearson, spearman of cosine, -L1, -L2 and dot against the label."""
-    scored = df.select(F.col(label).cast("double").alias("y"), S.cosine(a, b).alias("cosine"), (-S.l1(a, b)).alias("l1"), (-S.l2(a, b)).alias("l2"), S.dot(a, b).alias("dot"))
-    ranked = average_rank(scored, "y", "ry")
-    for m in ("cosine", "l1", "l2", "dot"):
-        ranked = average_rank(ranked, m, f"r_{m}")
-    stats = ranked.agg(*[f(x, y).alias(f"{k}_{m}") for m in ("cosine", "l1", "l2", "dot") for k, f, x, y in (("p", F.corr, m, "y"), ("s", F.corr, f"r_{m}", "ry"))])
-    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"p_{m}").alias("pearson"), F.col(f"s_{m}").alias("spearman")) for m in ("cosine", "l1", "l2", "dot")])
-    return stats.select(F.inline(rows))
+    y = F.col(label).cast("double")
+    values = {"cosine": S.cosine(a, b), "l1": -S.l1(a, b), "l2": -S.l2(a, b), "dot": S.dot(a, b)}
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), x.alias("x"), y.alias("y")) for m, x in values.items()])))
+    rows = materialize(rows.filter("x IS NOT NULL AND y IS NOT NULL"), "paired")
+    sides = F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"))))
+    per = rows.select("measure", sides).groupBy("measure", "side", "v").agg(F.count("*").alias("n"))
+    per = running_total(per, ["measure", "side", "v"], "n", "upto").select("measure", "side", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    per = materialize(per, "ranks")
+    ranks = {s: per.filter(F.col("side") == s).select(F.col("measure").alias(f"m{s}"), F.col("v").alias(f"v{s}"), F.col("rank").alias(f"r{s}")) for s in "xy"}
+    on = rows.join(small_side(ranks["x"]), (F.col("measure") == F.col("mx")) & (F.col("x") == F.col("vx")))
+    on = on.join(small_side(ranks["y"]), (F.col("measure") == F.col("my")) & (F.col("y") == F.col("vy")))
+    return on.groupBy("measure").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
 
 
 def contrast(df: DataFrame, group: Sequence[str], query: str, doc: str, positive: str) -> DataFrame:
