@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import math
 import re
@@ -156,6 +157,42 @@ def span_weights(text: Column, weights: dict[str, tuple[float, float]]) -> Colum
     return F.filter(F.flatten(spans), lambda s: s["content"] != "")
 
 
+def pattern_weights(text: Column, weights: dict[str, float], prompt: Column | None = None, prompts: dict[str, float] | None = None) -> Column:
+    """array<struct<content, weight>>: each stretch that a pattern matches with its weight, the rest with 1.
+
+    Where ``prompt`` contains a key of ``prompts``, the first of them weighs the whole text instead.
+    """
+    any_ = "|".join(f"(?:{p})" for p in weights)
+    marked = F.regexp_replace(text, f"({any_})", "\u0001$1\u0002")
+    pieces = F.filter(F.split(marked, "(?=\u0001)|(?<=\u0002)"), lambda p: p != "")
+
+    def weighed(piece: Column) -> Column:
+        content, weight = F.regexp_replace(piece, "[\u0001\u0002]", ""), F.lit(1.0)
+        for p, w in reversed(weights.items()):
+            weight = F.when(piece.startswith("\u0001") & content.rlike(f"^(?:{p})$"), float(w)).otherwise(weight)
+        return F.struct(content.alias("content"), weight.alias("weight"))
+
+    out = F.transform(pieces, weighed)
+    for key, w in reversed((prompts or {}).items()):
+        whole = F.array(F.struct(text.alias("content"), F.lit(float(w)).alias("weight")))
+        out = F.when(F.coalesce(F.contains(prompt, F.lit(key)), F.lit(False)), whole).otherwise(out)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def literal_pairs(texts: pd.Series) -> pd.Series:
+    """A history written as a Python literal, [['query', 'response'], ..]; null where it is none."""
+
+    def one(text: str | None) -> list | None:
+        try:
+            rows = ast.literal_eval(text)
+            return [[None if x is None else str(x) for x in r] for r in rows]
+        except (TypeError, ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 UNIT = re.compile(r"[\u3400-\u9fff]|[^\s\u3400-\u9fff]+")
 
 

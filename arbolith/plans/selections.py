@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbolith.functions import parsing as P
 from arbolith.functions import scalars as S
+from arbolith.operators import chats as C
 from arbolith.operators import evaluation as V
 from arbolith.operators import selection as L
 from arbolith.operators.sampling import contiguous_shards
@@ -286,3 +288,21 @@ def x15_sample_folders(spark, base):
     rows.repartition("split", "source").write.partitionBy("split", "source").json(path)
     found = files.read_samples(spark, path, "id string")
     return found.select("id", F.regexp_replace("sample", r"split=|source=", "").alias("sample"))
+
+
+@plans.add("""SELECT id, CASE WHEN coalesce(question, '') LIKE '%which%' THEN [{'content': 'a 12 b ' || source, 'weight': 3.0}]
+    ELSE [{'content': 'a ', 'weight': 1.0}, {'content': '12', 'weight': 2.0}, {'content': ' ', 'weight': 1.0}, {'content': 'b', 'weight': 0.5}, {'content': ' ' || source, 'weight': 1.0}] END AS spans FROM (SELECT id, question, replace(upper(source), 'B', 'C') AS source FROM tasks)""")
+def q10_pattern_weights(spark, base):
+    """Spans by patterns with a weight each, or the whole text by a word of the question."""
+    text = F.concat(F.lit("a 12 b "), F.replace(F.upper("source"), F.lit("B"), F.lit("C")))
+    return tasks(spark, base).select("id", P.pattern_weights(text, {r"\d+": 2.0, r"\bb\b": 0.5}, F.col("question"), {"which": 3.0}).alias("spans"))
+
+
+@plans.add("""SELECT id, list_filter([{'role': 'user', 'content': source}, {'role': 'assistant', 'content': split || chr(39) || 's'}, {'role': 'user', 'content': question}, {'role': 'assistant', 'content': options[1]}],
+    lambda m: m.content IS NOT NULL) AS messages FROM tasks WHERE source IS NOT NULL AND split IS NOT NULL""")
+def n2_history_literal(spark, base):
+    """A history as a literal, and the first of several responses."""
+    t = tasks(spark, base).filter("source IS NOT NULL AND split IS NOT NULL")
+    history = P.literal_pairs(F.concat(F.lit("[['"), "source", F.lit("', \""), "split", F.lit("'s\"]]")))
+    messages = C.from_query(F.col("question"), F.try_element_at("options", F.lit(1)), None, history)
+    return t.select("id", F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))

@@ -110,3 +110,10 @@ def test_scrubbed_and_fences(spark):
     df = spark.createDataFrame([("a ```python\nx",), ("none",), (None,)], "t string")
     head, code = P.fence_split(F.col("t"))
     assert [tuple(r) for r in df.select(head, code).collect()] == [("a ", "```python\nx"), ("none", None), (None, None)]
+
+
+def test_pattern_weights_and_literals(spark):
+    df = spark.createDataFrame([("12x3", "ask", "[['a', None], ['b', 2]]"), ("", None, "[broken"), (None, "key", None)], "t string, q string, h string")
+    got = df.select(P.pattern_weights(F.col("t"), {r"\d+": 2.0, "x": 0.0}, F.col("q"), {"key": 5.0}).alias("s"), P.literal_pairs("h").alias("h")).collect()
+    assert [(x.content, x.weight) for x in got[0].s] == [("12", 2.0), ("x", 0.0), ("3", 2.0)] and got[0].h == [["a", None], ["b", "2"]]
+    assert got[1].s == [] and got[1].h is None and [(x.content, x.weight) for x in got[2].s] == [(None, 5.0)] and got[2].h is None
