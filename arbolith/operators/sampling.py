@@ -77,20 +77,20 @@ def interleave(frames: Sequence[tuple[DataFrame, Sequence[str]]], stop: str = "f
     return (rows.filter(F.col("__i") < shortest) if stop == "first" else rows).drop("__i")
 
 
-def stratified_quota(df: DataFrame, stratum: str, quotas: Mapping[str, tuple[int, int]], seed: int, *keys: str) -> DataFrame:
+def stratified_quota(df: DataFrame, stratum: str, quotas: Mapping[str, tuple[int, int]], seed: int, *keys: str, least: int = 1) -> DataFrame:
     """``part`` 'test' or 'train' by (train, test) quotas per stratum, test drawn first; other rows are left out.
 
-    A stratum with too few rows has both quotas scaled down in proportion, with
-    at least one row in train.
+    A stratum with too few rows has its train quota scaled down in proportion
+    and rounded down, but to ``least`` at least; its other rows are test.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     pairs = [x for s, (a, b) in quotas.items() for x in (F.lit(s), F.struct(F.lit(a).alias("train"), F.lit(b).alias("test")))]
     rows = df.withColumn("__q", F.create_map(*pairs)[F.col(stratum)]).filter("__q IS NOT NULL")
     rows = ranks_within(rows.withColumn("__key", key), stratum, ["__key", *keys], "__r", "__n").drop("__key")
     want = F.col("__q.train") + F.col("__q.test")
-    scale = F.least(F.lit(1.0), F.col("__n") / want)
-    test = F.least(F.floor(F.col("__q.test") * scale), F.col("__n") - 1)
-    train = F.when(scale < 1, F.col("__n") - test).otherwise(F.col("__q.train"))
+    scarce = F.col("__n") < want
+    train = F.when(scarce, F.greatest(F.lit(least), F.floor(F.col("__q.train") * (F.col("__n") / want)))).otherwise(F.col("__q.train"))
+    test = F.when(scarce, F.col("__n") - train).otherwise(F.col("__q.test"))
     part = F.when(F.col("__r") <= test, "test").when(F.col("__r") <= test + train, "train")
     return rows.withColumn("part", part).filter("part IS NOT NULL").drop("__q", "__n", "__r")
 

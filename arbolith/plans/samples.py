@@ -55,14 +55,25 @@ def m6_shuffle(spark, base):
 QUOTAS = {"Physics": (10, 15), "Life": (40, 60), "Material": (5, 5)}
 
 
-@plans.add("""WITH q(subject, a, b) AS (VALUES ('Physics', 10, 15), ('Life', 40, 60), ('Material', 5, 5)),
+QUOTA = """WITH q(subject, a, b) AS (VALUES ('Physics', 10, 15), ('Life', 40, 60), ('Material', 5, 5)),
     t AS (SELECT id, subject, a, b, row_number() OVER (PARTITION BY subject ORDER BY md5('42:' || id), id) AS r, count(*) OVER (PARTITION BY subject) AS n FROM tasks JOIN q USING (subject)),
-    s AS (SELECT *, least(1.0, n / (a + b)) AS scale, least(floor(b * least(1.0, n / (a + b))), n - 1) AS test FROM t)
-    SELECT id, CASE WHEN r <= test THEN 'test' ELSE 'train' END AS part FROM s WHERE r <= test + CASE WHEN scale < 1 THEN n - test ELSE a END""")
+    s AS (SELECT *, CASE WHEN n < a + b THEN greatest({}, floor(a * (n / (a + b)))) ELSE a END AS train FROM t),
+    e AS (SELECT *, CASE WHEN n < a + b THEN n - train ELSE b END AS test FROM s)
+    SELECT id, CASE WHEN r <= test THEN 'test' ELSE 'train' END AS part FROM e WHERE r <= test + train"""
+
+
+@plans.add(QUOTA.format(1))
 def m7_stratified_quota(spark, base):
     return M.stratified_quota(tasks(spark, base), "subject", QUOTAS, 42, "id").select("id", "part")
 
 
+@plans.add(QUOTA.format(0).replace("40, 60", "1, 900"))
+def m7_quota_from_none(spark, base):
+    """A subject with too few rows may have none in train."""
+    quotas = QUOTAS | {"Life": (1, 900)}
+    return M.stratified_quota(tasks(spark, base), "subject", quotas, 42, "id", least=0).select("id", "part")
+
+
 @plans.add("""WITH s AS (SELECT subject, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS x FROM tasks GROUP BY 1),
     b AS (SELECT *, floor(x) AS base, 100 - sum(floor(x)) OVER () AS rest FROM s),
     k AS (SELECT subject, base + CASE WHEN row_number() OVER (ORDER BY x - base DESC, subject NULLS FIRST) <= rest THEN 1 ELSE 0 END AS take FROM b),
